@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from alidade.llm.bpe import bpe_round_trip
 from alidade.llm.common import table
 from alidade.llm.exact_dedup import exact_dedup
+from alidade.llm.mixing import mix_sources
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,12 +28,47 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_mix_sources": op3_mix_sources,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
+    "op3_mix_sources": """
+        WITH sized AS (
+            SELECT doc_id, source,
+                   CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+                   -ln((CAST(('0x' || substr(md5('mix-' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12)) AS BIGINT) + 0.5::DOUBLE)
+                       / 281474976710656.0::DOUBLE)
+                   / greatest(0.05::DOUBLE, 1.0::DOUBLE
+                       - 10.0::DOUBLE * (length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#*$%&|<>', '')))
+                         / greatest(length(coalesce(text, '')), 1)) AS key
+            FROM documents),
+        sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+        ranked AS (
+            SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank, 2.0::DOUBLE * source_size AS cap,
+                   CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight
+            FROM sizes),
+        levels AS (
+            SELECT *, cap / weight AS full_at,
+                   1.5::DOUBLE * CAST(sum(source_size) OVER () AS BIGINT)
+                   - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS rest,
+                   CAST(sum(weight) OVER () - coalesce(sum(weight) OVER (
+                       ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS weights
+            FROM ranked),
+        level AS (
+            SELECT rest / weights AS level FROM levels WHERE rest <= full_at * weights ORDER BY full_at, rank LIMIT 1),
+        targets AS (
+            SELECT source, source_size, coalesce(least(cap, (SELECT level FROM level) * weight), cap) AS target FROM levels),
+        runs AS (
+            SELECT s.*, t.source_size, t.target,
+                   CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) ELSE 0 END AS epochs,
+                   CAST(sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run
+            FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target,
+               CAST(size * (epochs + CASE WHEN run - size / 2.0::DOUBLE < target - epochs * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+        FROM runs""",
     "op6_exact_dedup": """
         WITH n AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
