@@ -12,6 +12,7 @@ from alidade.llm.bpe import bpe_round_trip
 from alidade.llm.common import table
 from alidade.llm.exact_dedup import exact_dedup
 from alidade.llm.mixing import mix_sources
+from alidade.llm.quality_rules import judge_lines, learn_field
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,10 +28,16 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.expr("bigint(length(ids) / 4)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return judge_lines(docs, learn_field(docs, table(spark, sf_dir, "labels"))).drop("content_words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
