@@ -12,9 +12,16 @@ from alidade.llm.bpe import bpe_round_trip
 from alidade.llm.common import table
 from alidade.llm.exact_dedup import exact_dedup
 from alidade.llm.mixing import mix_sources
+from alidade.llm.quality_classifier import learn_quality, score_quality
 from alidade.llm.quality_rules import judge_lines, learn_field
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return score_quality(docs, learn_quality(docs, table(spark, sf_dir, "labels"))).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -34,6 +41,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op3_mix_sources": op3_mix_sources,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_byte_bpe": op9_byte_bpe,
