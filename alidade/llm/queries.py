@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from alidade.llm.bpe import bpe_round_trip
 from alidade.llm.common import table
 from alidade.llm.exact_dedup import exact_dedup
+from alidade.llm.language_id import identify_languages, learn_languages
 from alidade.llm.mixing import mix_sources
 from alidade.llm.quality_classifier import learn_quality, score_quality
 from alidade.llm.quality_rules import judge_lines, learn_field
@@ -26,6 +27,12 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return identify_languages(docs, learn_languages(docs)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("content_sha256", "text_sha256")
 
@@ -43,6 +50,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_mix_sources": op3_mix_sources,
+    "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_rules": op10_quality_rules,
