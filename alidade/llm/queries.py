@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from alidade.llm.bpe import bpe_round_trip
 from alidade.llm.common import table
 from alidade.llm.exact_dedup import exact_dedup
+from alidade.llm.html_text import extract_text
 from alidade.llm.language_id import identify_languages, learn_languages
 from alidade.llm.mixing import mix_sources
 from alidade.llm.quality_classifier import learn_quality, score_quality
@@ -37,6 +38,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("content_sha256", "text_sha256")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select("doc_id", F.expr("bigint(length(ids) / 4)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
     "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_html_text": op7_html_text,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_rules": op10_quality_rules,
 }
