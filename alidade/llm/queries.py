@@ -14,6 +14,7 @@ from alidade.llm.exact_dedup import exact_dedup
 from alidade.llm.html_text import extract_text
 from alidade.llm.language_id import identify_languages, learn_languages
 from alidade.llm.mixing import mix_sources
+from alidade.llm.ngram_join import jaccard_components
 from alidade.llm.quality_classifier import learn_quality, score_quality
 from alidade.llm.quality_rules import judge_lines, learn_field
 
@@ -28,6 +29,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
@@ -55,6 +60,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_mix_sources": op3_mix_sources,
+    "op4_ngram_join": op4_ngram_join,
     "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_html_text": op7_html_text,
