@@ -18,21 +18,17 @@ members are told apart by 64-bit hashes and sets by 128-bit ones; an empty table
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alidade.llm.common import id_field, keyed, map_texts, offsets_and_bytes, saved, small_batches
+from alidade.llm.common import id_field, keyed, map_texts, offsets_and_bytes, saved
 from alidade.llm.components import components
+from alidade.llm.sketch import SKETCH_BITS, noise_level, sketch_levels
 from alidade.llm.words import LOWER, mix, word_hashes, word_spans
 
-#: Counters of the sketch and the parts in which it is summed; a broadcast of one byte a counter, whatever the input.
-SKETCH_BITS, SKETCH_PARTS = 22, 64
 #: The numbers of shared members that a text may ask for.
 MATCHES = (1, 2, 3, 4, 6, 8)
 
@@ -68,37 +64,6 @@ def need(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return (percent * n + 99) // 100
 
 
-def sketch_counts(texts: DataFrame, n: int) -> np.ndarray:
-    """Counts of all members of all sets, hashed to 2**SKETCH_BITS counters, as rounded twice their binary logarithm.
-
-    Each task sends its counters compressed, in parts; a part is summed as its rows stream by.
-    """
-    schema, width = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("counts", T.BinaryType())]), (1 << SKETCH_BITS) // SKETCH_PARTS
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.uint32)
-        for batch in small_batches(batches):
-            sets = shingle_sets(*reversed(offsets_and_bytes(batch.column("text"))), n)
-            at, times = np.unique(np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
-            total[at.astype(np.int64)] += times.astype(np.uint32)
-        rows = [(k, zlib.compress(total[k * width : (k + 1) * width].tobytes(), 1)) for k in range(SKETCH_PARTS)] if total.any() else []
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.binary())], ["part", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                sums.setdefault(part, np.zeros(width, np.uint64))
-                sums[part] += np.frombuffer(zlib.decompress(counts), np.uint32)
-        levels = [np.round(2 * np.log2(np.maximum(c, 1).astype(float))).astype(np.uint8).tobytes() for c in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], ["part", "counts"])
-
-    out = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for row in texts.mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect():  # one byte a counter
-        out[row.part * width : (row.part + 1) * width] = np.frombuffer(row.counts, np.uint8)
-    return out
-
-
 def prefix(members: np.ndarray, levels: np.ndarray, noise: float, percent: int) -> tuple[np.ndarray, int]:
     """The members that are posted, and how many of them a partner must share."""
     if not len(members):
@@ -119,9 +84,8 @@ def prefix(members: np.ndarray, levels: np.ndarray, noise: float, percent: int)
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """Return id_col, n_shingles and component_id for every row; two texts link when 100 * shared >= percent * union."""
     texts = keyed(docs, id_col, text_col)
-    levels = sketch_counts(texts, n)
-    # What a counter holds of other members: its mean, as most members are rare.
-    noise = float(np.mean(2.0 ** (levels[levels > 0] / 2.0))) if (levels > 0).any() else 0.0
+    levels = sketch_levels(texts, lambda data, offsets: np.concatenate(shingle_sets(data, offsets, n)))
+    noise = noise_level(levels)
     cell = texts.sparkSession.sparkContext.broadcast(levels)
     schema = T.StructType([id_field(docs, id_col), T.StructField("e", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("need", T.IntegerType()),
                            T.StructField("tokens", T.ArrayType(T.LongType()))])

@@ -44,6 +44,11 @@ class _Powers:
 _POWERS = _Powers()
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n powers of BASE and of its inverse."""
+    return _POWERS.get(n)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads all bits."""
     x = x ^ (x >> np.uint64(32))
