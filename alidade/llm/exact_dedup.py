@@ -115,8 +115,8 @@ def _spilled(path: str) -> Iterator[tuple[int, int, bytes]]:
 
 
 def _key(value):  # noqa: ANN001, ANN202
-    """Order of ids with null as the smallest."""
-    return (value is not None, value)
+    """Order of ids with null as the smallest; a struct is ordered by its fields."""
+    return (value is not None, tuple(_key(v) for v in value.values()) if isinstance(value, dict) else value)
 
 
 def _sliced(rows: Iterable[list], schema: pa.Schema, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
