@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alidade.llm.bpe import bpe_round_trip
-from alidade.llm.common import saved, table
+from alidade.llm.common import if_small, saved, table
 from alidade.llm.exact_dedup import exact_dedup
 from alidade.llm.mixing import mix_sources
 from alidade.llm.ngram_join import jaccard_components
@@ -27,9 +27,17 @@ def _marked(docs: DataFrame) -> DataFrame:
     return both.withColumn("_row", F.struct("doc_id", *_MARKS))
 
 
-def _of_rows(docs: DataFrame, rows: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The marked docs joined with rows, which have a column _row."""
-    return docs.drop("_row").join(rows.select(*(F.col("_row")[m].alias(m) for m in _MARKS), *(c for c in rows.columns if c != "_row")), list(_MARKS), how)
+def _keys(rows: DataFrame) -> DataFrame:
+    """Rows with the marks of their column _row in its place."""
+    return rows.select(*(F.col("_row")[m].alias(m) for m in _MARKS), *(c for c in rows.columns if c != "_row"))
+
+
+def _once(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The marked docs, but of rows that found has several times (equal in id and text) only one. The window is over those rows alone."""
+    again = if_small(saved(_keys(found.groupBy("_row").count().where("count > 1").select("_row")), "pipeline-again"))
+    nth = F.row_number().over(Window.partitionBy(*_MARKS).orderBy("doc_id"))
+    one = docs.join(again, list(_MARKS), "left_semi").withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    return docs.join(again, list(_MARKS), "left_anti").unionByName(one)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,24 +49,28 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays, and of equal rows one."""
     marked = _marked(docs)
-    kept = exact_dedup(marked, id_col="_row").where("kept").select("_row")
-    rows = _of_rows(marked, kept)
-    nth = F.row_number().over(Window.partitionBy(*_MARKS).orderBy("doc_id"))
-    return rows.withColumn("_n", nth).where("_n = 1").select(*docs.columns)
+    found = saved(exact_dedup(marked, id_col="_row").select("_row", "kept"), "pipeline-exact")
+    # Rows that are equal in id and text have the same marks: they go if none of them stays, else one of them stays.
+    kept = found.where("kept").select("_row")
+    gone = if_small(saved(_keys(found.where("not kept").select("_row").distinct().join(kept, "_row", "left_anti")), "pipeline-gone"))
+    return _once(marked.drop("_row").join(gone, list(_MARKS), "left_anti"), found).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are linked by a similarity of 0.8 or more of their five-word shingles, the one with the smallest doc_id stays."""
     marked = _marked(docs)
     found = jaccard_components(marked, id_col="_row", n=5, percent=80)
-    return _of_rows(marked, found.where(F.col("_row") == F.col("component_id")).select("_row")).select(*docs.columns)
+    gone = if_small(saved(_keys(found.where(F.col("_row") != F.col("component_id")).select("_row")), "pipeline-near"))
+    return marked.drop("_row").join(gone, list(_MARKS), "left_anti").select(*docs.columns)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; documents without a word are not taken."""
     marked = _marked(docs)
-    taken = mix_sources(marked, id_col="_row").where("taken > 0").select("_row", F.expr("int(taken / size)").alias("_times"))
-    rows = _of_rows(marked, taken, "inner")
+    taken = saved(mix_sources(marked, id_col="_row").where("taken > 0").select("_row", F.expr("int(taken / size)").alias("_times")), "pipeline-mix")
+    # Rows that are equal in id and text have the same marks: one of them stands for all that they take.
+    times = if_small(saved(_keys(taken).groupBy(*_MARKS).agg(F.sum("_times").alias("_times")), "pipeline-taken"))
+    rows = _once(marked.drop("_row"), taken).join(times, list(_MARKS))
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
