@@ -49,6 +49,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers each that are broadcast at most, some tens of MB.
+BROADCAST_ROWS = 500_000
+
+
+def if_small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if a count shows that it has BROADCAST_ROWS at most; else joins shuffle as ever. For narrow rows only."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, as bytes, null as empty; every other column is ignored."""
     return docs.select(
