@@ -1,0 +1,230 @@
+"""The numpy cores against brute force, without Spark."""
+
+import collections
+import hashlib
+import random
+
+import numpy as np
+import public_tokenizers
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from alidade.llm import bpe, html_text, language_id, quality_rules, substring_dedup, suffix_dedup
+from alidade.llm.exact_dedup import grace_groups
+from alidade.llm.quality_classifier import fit_rules, lasso_logistic, matches, tree_paths
+from alidade.llm.words import word_hashes, word_spans
+
+
+def batch(texts):
+    raw = [t.encode() if isinstance(t, str) else t for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+
+
+@given(st.lists(st.integers(0, 3), max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_suffix_array(symbols):
+    assert suffix_dedup.linear_suffix_array(symbols) == sorted(range(len(symbols)), key=lambda k: symbols[k:])
+
+
+def runs(flags):
+    edge = np.diff(np.concatenate([[0], np.asarray(flags, np.int8), [0]]))
+    return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], 1).ravel().tolist()
+
+
+@given(st.integers(0, 10**6), st.sampled_from([b"ab ", b"a ", b"abc", b"ab \n "]), st.sampled_from([4, 7, 11]))
+@settings(max_examples=120, deadline=None)
+def test_repeated_windows(seed, letters, window):
+    rng = random.Random(seed)
+    some = [bytes(rng.choice(letters) for _ in range(rng.randint(window, 40))) for _ in range(5)]
+    some = list(dict.fromkeys(some + [s[rng.randint(0, 3) :] + bytes(rng.choice(letters) for _ in range(window)) for s in some]))
+    times = [rng.choice([1, 1, 2]) for _ in some]
+    count = collections.Counter()
+    for s, t in zip(some, times, strict=True):
+        for k in range(len(s) - window + 1):
+            count[s[k : k + window]] += t
+    want = []
+    for s in some:
+        flags = np.zeros(len(s), bool)
+        for k in range(len(s) - window + 1):
+            if count[s[k : k + window]] > 1:
+                flags[k : k + window] = True
+        want.append(runs(flags))
+    assert suffix_dedup.repeated_windows(some, times, window) == want
+
+
+@given(st.integers(0, 10**6), st.sampled_from([2, 5]))
+@settings(max_examples=120, deadline=None)
+def test_earlier_windows(seed, window):
+    rng = random.Random(seed)
+    some = [[rng.choice("abc") for _ in range(rng.randint(window, 20))] for _ in range(6)]
+    owners = [rng.randint(0, 4) for _ in some]
+    for words, owner, got in zip(some, owners, substring_dedup.earlier_windows([" ".join(s).encode() for s in some], owners, window), strict=True):
+        flags = np.zeros(len(words), bool)
+        for k in range(len(words) - window + 1):
+            if any(o < owner and any(s[j : j + window] == words[k : k + window] for j in range(len(s) - window + 1)) for s, o in zip(some, owners, strict=True)):
+                flags[k : k + window] = True
+        assert got == runs(flags)
+
+
+def test_wavelet_rank():
+    rng = np.random.default_rng(3)
+    symbols = rng.integers(0, 13, 500)
+    tree = substring_dedup.WaveletTree(symbols, 13)
+    s, at = rng.integers(0, 13, 300), rng.integers(0, 501, 300)
+    assert tree.rank(s, at).tolist() == [int((symbols[:k] == x).sum()) for x, k in zip(s, at, strict=True)]
+
+
+def test_grace_spills_and_compares_contents():
+    rng = random.Random(1)
+    texts = [bytes([rng.randint(97, 99)]) * rng.randint(0, 60) for _ in range(3000)]
+    for hash_of in (lambda t: int.from_bytes(hashlib.sha256(t).digest()[:8], "big"), lambda t: 7):  # one hash for all: contents alone tell
+        groups = list(grace_groups(((hash_of(t), k, t) for k, t in enumerate(texts)), budget=900))
+        want = collections.defaultdict(list)
+        for k, t in enumerate(texts):
+            want[t].append(k)
+        assert {c: sorted(m) for c, m in groups} == dict(want) and len(groups) == len(want)
+
+
+def encoder():
+    return bpe.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@given(st.text(alphabet=st.sampled_from("ab1 \n\t 'sé. 中😀\x1c"), max_size=200), st.integers(1, 20))
+@settings(max_examples=300, deadline=None)
+def test_pieces_do_not_change_ids(text, chunk):
+    enc, by_id = encoder()
+    ids = bpe.encode_text(text, enc, chunk)
+    assert ids.tolist() == enc.encode_ordinary(text)
+    assert bpe.decode_ids(ids, by_id) == text.encode()
+
+
+def test_special_text_is_ordinary():
+    enc, _ = encoder()
+    assert bpe.encode_text("a<|endoftext|>b", enc, 5).tolist() == enc.encode_ordinary("a<|endoftext|>b") and isinstance(enc, tiktoken.Encoding)
+
+
+def test_words_hash_alike_anywhere():
+    data, offsets = batch(["a bb  a", "", "\n", "bb\x0ba", "x" * 1000])
+    starts, ends, first = word_spans(data, offsets)
+    h = word_hashes(data, starts, ends)
+    assert first.tolist() == [0, 3, 3, 3, 5, 6] and h[0] == h[2] == h[4] and h[1] == h[3] and len(set(h.tolist())) == 3
+
+
+def brute_viterbi(field, codes):
+    import itertools
+
+    hot = quality_rules.one_hot(codes) @ field.state
+
+    def total(path):
+        return sum(hot[k, y] for k, y in enumerate(path)) + sum(field.step[a, b] for a, b in zip(path, path[1:], strict=False))
+
+    return max(total(p) for p in itertools.product((0, 1), repeat=len(codes))), total
+
+
+def test_viterbi_is_best():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        field = quality_rules.Field(rng.normal(size=(quality_rules.N_FEATURES, 2)), rng.normal(size=(2, 2)) * 2)
+        codes = rng.integers(0, 1 << quality_rules.N_FEATURES, rng.integers(1, 7))
+        best, total = brute_viterbi(field, codes)
+        assert abs(total(field.decode(codes).tolist()) - best) < 1e-9
+
+
+def test_field_gradient():
+    rng = np.random.default_rng(5)
+    codes = [rng.integers(0, 1 << quality_rules.N_FEATURES, n) for n in (1, 3, 4)]
+    length, y, weight = np.array([1, 3, 4]), np.array([0, 1, 0]), np.array([0.5, 1.0, 0.25])
+    x = np.zeros((3, 4), np.int64)
+    for row, c in zip(x, codes, strict=True):
+        row[: len(c)] = c
+    field = quality_rules.Field(rng.normal(size=(quality_rules.N_FEATURES, 2)), rng.normal(size=(2, 2)))
+
+    def likelihood(f):
+        import itertools
+
+        out = 0.0
+        for c, label, w in zip(codes, y, weight, strict=True):
+            _, total = brute_viterbi(f, c)
+            out += w * (total([label] * len(c)) - np.log(sum(np.exp(total(p)) for p in itertools.product((0, 1), repeat=len(c)))))
+        return out
+
+    state, step = quality_rules._gradient(field, quality_rules.one_hot(x), np.arange(4) < length[:, None], y, weight, length)
+    for part, grad in ((field.state, state), (field.step, step)):
+        for at in [(0, 0), (1, 1), (1, 0)]:
+            old = part[at]
+            part[at] = old + 1e-5
+            up = likelihood(field)
+            part[at] = old - 1e-5
+            down = likelihood(field)
+            part[at] = old
+            assert abs((up - down) / 2e-5 - grad[at]) < 1e-5
+
+
+def test_rules():
+    rng = np.random.default_rng(0)
+    x = rng.random((800, 3))
+    y = ((x[:, 0] > 0.6) & (x[:, 1] <= 0.5)).astype(int)
+    names = ["a", "b", "c"]
+    model = fit_rules(x, y, names)
+    score = model.bias + sum(w * matches(b, x, names) for b, w in model.rules)
+    assert ((score > 0) == y).mean() > 0.95 and 0 < len(model.rules) < len(tree_paths(x, y, names))
+    assert np.all(lasso_logistic(rng.random((50, 4)), rng.integers(0, 2, 50).astype(float), penalty=10.0)[1] == 0)
+    assert not fit_rules(np.zeros((0, 3)), np.zeros(0), names).rules and fit_rules(x, np.ones(800, int), names).bias > 0
+
+
+def test_folded_network_is_the_network():
+    rng = np.random.default_rng(4)
+    net = language_id.new_net(["a", "b"])
+    x = rng.integers(0, 256, (20, 32)).astype(np.uint8)
+    loss, _ = language_id._learn_step(net, x, np.zeros(20, int))
+    assert abs(-language_id.Folded(net).log_probabilities(x)[:, 0].mean() - loss) < 1e-4
+
+
+def test_network_gradient():
+    rng = np.random.default_rng(6)
+    net = language_id.new_net(["a", "b", "c"])
+    net = language_id.ByteNet(net.langs, *(p.astype(float) if isinstance(p, np.ndarray) else [q.astype(float) for q in p] for p in (net.embedding, net.filters, net.biases, net.out, net.out_bias)))
+    x, y = rng.integers(0, 50, (6, 16)).astype(np.uint8), rng.integers(0, 3, 6)
+    _, grads = language_id._learn_step(net, x, y)
+    for part, grad in zip(net.parts(), grads, strict=True):
+        at = np.unravel_index(np.abs(grad).argmax(), grad.shape)
+        old, step = part[at], 1e-5
+        part[at] = old + step
+        up = language_id._learn_step(net, x, y)[0]
+        part[at] = old - step
+        down = language_id._learn_step(net, x, y)[0]
+        part[at] = old
+        assert abs((up - down) / (2 * step) - grad[at]) < 1e-4
+
+
+def test_windows_cover_whole_texts():
+    data, offsets = batch(["abcdefg", "", "xy"])
+    windows, text_of, used = language_id.cut_windows(data, offsets, 3)
+    assert [bytes(w[:u]) for w, u in zip(windows, used, strict=True)] == [b"abc", b"def", b"g", b"xy"] and text_of.tolist() == [0, 0, 0, 2]
+
+
+def kept(page):
+    return [b for b, kind in html_text.read_blocks(page) if kind == html_text.MAIN]
+
+
+def test_blocks():
+    page = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var t="</p><article>";</script></head><body><nav>menu</nav>
+    <!-- <article><p>no</p></article> --><div class="ad">buy</div><article><h1>Head &amp; tail</h1><p>One<br>two <b>three</b>&nbsp;four<p>a < b &lt; c
+    <div id="comments"><p>me too</p></div><p class="cookie-notice">cookies</p><ul><li>x<li>y</ul><form><p>mail</p></form><aside>side</aside></article><footer>f</footer>"""
+    assert kept(page) == ["Head & tail", "One two three four", "a < b < c", "x", "y"]
+
+
+def test_odd_pages():
+    assert html_text.read_blocks("") == [] and html_text.read_blocks("<p") == [("<p", html_text.OPEN)]
+    assert html_text.read_blocks("<script>x") == [] and html_text.read_blocks("<!-- x") == []
+    assert html_text.read_blocks("</div></nav>a<nav>b</div>c</nav>d") == [("a", html_text.OPEN), ("b", html_text.DROPPED), ("c", html_text.DROPPED), ("d", html_text.OPEN)]
+    assert html_text.read_blocks('<p title="a>b">x</p>') == [("x", html_text.OPEN)]
+
+
+def test_repeated_tokens():
+    line = "one two three four five six seven eight nine"
+    pages = [[line, "only here " * 5], ["first", line], [line + " " + line], []]
+    got = html_text.repeated_tokens(pages, [1, 2, 3, 4], 8)
+    assert [g.round(2).tolist() for g in got] == [[1.0, 0.0], [0.0, 1.0], [1.0], []]
+    assert html_text.repeated_tokens([[line], [line]], [1, 1], 8)[0].tolist() == [0.0]  # the same page twice is one page

@@ -1,0 +1,369 @@
+"""All operators on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, against brute force."""
+
+import collections
+import hashlib
+import html
+import math
+import os
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+
+import corpus_pipeline
+from alidade.llm import queries
+from alidade.llm.components import components
+from alidade.llm.exact_dedup import exact_dedup
+from alidade.llm.html_text import extract_text
+from alidade.llm.language_id import identify_languages, learn_languages
+from alidade.llm.mixing import mix_sources
+from alidade.llm.ngram_join import jaccard_components
+from alidade.llm.quality_classifier import RuleEnsemble, learn_quality, score_quality
+from alidade.llm.quality_rules import judge_lines, learn_field
+from alidade.llm.substring_dedup import remove_earlier_passages
+from alidade.llm.suffix_dedup import remove_repeated_strings
+
+DATA = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+CLASHING = ["id", "row", "r", "n", "e", "k", "token", "span", "anchor", "cuts", "size", "score", "kept", "content", "word"]
+
+
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
+def odd_rows():
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(400)]
+    base = [" ".join(rng.choices(vocabulary, k=120)) for _ in range(6)]
+    passage = " ".join(rng.choices(vocabulary, k=70))
+    rows = [(k, t, "a") for k, t in enumerate(base)]
+    rows += [(10, base[0], "a"), (11, base[0].upper(), "b"), (11, base[0].upper(), "b"), (12, base[1] + " more", None), (13, base[1].replace("w1 ", "x1 "), "b")]
+    rows += [(20, passage + "\n" + base[2], "c"), (21, base[3] + " " + passage, "c"), (22, passage, "c"), (22, "another text with id 22", "c")]
+    rows += [(30, None, "a"), (31, "", "b"), (32, " \n\t", None), (33, "one", "é"), (34, "One two", "a"), (35, "one", "z"), (None, base[4], "a"), (None, "no id", None)]
+    rows += [(40, "a " * 3000, "a"), (41, "x" * 9000, "b"), (42, "中文 текст 😀 " * 60, "c"), (43, "\x0b".join(vocabulary[:60]), "c"), (44, ("line one is here\n" * 30), "d")]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(*r, *[f"{c}!" for c in CLASHING]) for r in odd_rows()]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in CLASHING)).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(odd):
+    return odd.limit(0)
+
+
+def rows_of(df, *columns):
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
+
+
+def test_exact_dedup(odd, none):
+    groups = collections.defaultdict(list)
+    for k, t, _ in odd_rows():
+        groups[lower(t or "")].append(k)
+    want = []
+    for t, ids in groups.items():
+        top = max(ids, key=lambda i: (i is not None, i or 0))
+        sha, left = hashlib.sha256(t.encode()).hexdigest(), 1
+        for i in ids:
+            want.append((i, top, len(ids), i == top and left == 1, sha))
+            left -= i == top
+    for budget in (64 << 20, 500):
+        assert rows_of(exact_dedup(odd, budget=budget), "doc_id", "keep_id", "group_size", "kept", "content_sha256") == sorted(want, key=repr)
+    assert exact_dedup(none).count() == 0
+
+
+def brute_components(rows, n, percent):
+    sets, parent = [], list(range(len(rows)))
+    for _, t, _ in rows:
+        w = WORD.findall(lower(t or ""))
+        sets.append({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set())
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                parent[find(a)] = find(b)
+    least = {}
+    for k, (i, _, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(least.get(find(k), i), i)
+    return [(i, len(sets[k]), least.get(find(k)) if sets[k] else i) for k, (i, _, _) in enumerate(rows)]
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80), (1, 30)])
+def test_ngram_join(odd, n, percent):
+    got = rows_of(jaccard_components(odd, n=n, percent=percent), "doc_id", "n_shingles", "component_id")
+    assert got == sorted(brute_components(odd_rows(), n, percent), key=repr)
+
+
+def test_ngram_join_of_nothing(none):
+    assert jaccard_components(none).count() == 0
+
+
+def test_near_copies_that_link_in_a_chain(spark):
+    rng = random.Random(2)
+    words = [f"v{k}" for k in range(5000)]
+    rows, text = [], rng.choices(words, k=100)
+    for k in range(40):  # each differs a little from the one before, the ends have nothing in common
+        rows.append((k, " ".join(text), None))
+        text = text[3:] + rng.choices(words, k=3)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.component_id for r in jaccard_components(df).collect()} == {0}
+    assert rows_of(jaccard_components(df, percent=99), "doc_id", "component_id") == [(k, k) for k in sorted(range(40), key=lambda k: repr((k, k)))]
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1040)] + [(5, 5)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    assert rows_of(components(spark.createDataFrame(edges, "a long, b long")), "node", "root") == sorted(((k, find(k)) for k in parent), key=repr)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_suffix_dedup(odd, none):
+    rows, window = odd_rows(), 60
+    texts = [(t or "").encode() for _, t, _ in rows]
+    count = collections.Counter(t[k : k + window] for t in texts for k in range(len(t) - window + 1))
+    want = []
+    for (i, _, _), t in zip(rows, texts, strict=True):
+        flags = np.zeros(len(t) + 1, bool)
+        for k in range(len(t) - window + 1):
+            if count[t[k : k + window]] > 1:
+                flags[k : k + window] = True
+        flags = flags[:-1]
+        runs = int((np.diff(np.concatenate([[0], flags.astype(int)])) == 1).sum())
+        want.append((i, len(t), int(flags.sum()), runs, bytes(np.frombuffer(t, np.uint8)[~flags])))
+    got = remove_repeated_strings(odd, window=window, gram=16)
+    assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept") == sorted(((i, a, b, c, bytearray(k)) for i, a, b, c, k in want), key=repr)
+    assert remove_repeated_strings(none).count() == 0
+
+
+def test_substring_dedup(odd, none):
+    rows, window = odd_rows(), 20
+    words = [(t or "").encode().split() for _, t, _ in rows]
+    least = {}
+    for (i, _, _), w in zip(rows, words, strict=True):
+        if i is not None:
+            for k in range(len(w) - window + 1):
+                key = tuple(w[k : k + window])
+                least[key] = min(least.get(key, i), i)
+    want = []
+    for (i, _, _), w in zip(rows, words, strict=True):
+        gone = set()
+        for k in range(len(w) - window + 1):
+            if i is not None and least[tuple(w[k : k + window])] < i:
+                gone |= set(range(k, k + window))
+        want.append((i, len(w), len(gone), bytearray(b" ".join(x for k, x in enumerate(w) if k not in gone))))
+    got = remove_earlier_passages(odd, window=window, gram=5)
+    assert rows_of(got, "doc_id", "n_words", "n_removed", "kept") == sorted(want, key=repr)
+    assert remove_earlier_passages(none).count() == 0
+
+
+def test_segments(spark, monkeypatch):
+    """A text longer than a segment of windows is read in parts."""
+    from alidade.llm import repeats
+    from alidade.llm.words import byte_codes
+
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 100, 5000).astype(np.uint8)
+    first = np.array([0, 3000, 3000, 3050, 5000])
+    unit, levels = repeats.Unit(False, 100, 20), np.zeros(1 << 22, np.uint8)
+    whole = repeats.find_spans(byte_codes()[data], first, unit, levels)
+    monkeypatch.setattr(repeats, "SEGMENT", 256)
+    parts = repeats.find_spans(byte_codes()[data], first, unit, levels)
+    covered = [sorted(k for b, c in zip(begin, count, strict=True) for k in range(b, b + c)) for _, begin, count in (whole, parts)]
+    assert covered[0] == covered[1] == [*range(2901), *range(3050, 4901)]
+    assert set(parts[0].tolist()) == set(whole[0].tolist())
+
+
+def test_mixing(odd, none):
+    out = mix_sources(odd).collect()
+    assert len(out) == len(odd_rows())
+    sizes = collections.Counter()
+    for _, t, s in odd_rows():
+        sizes[s] += len(WORD.findall(t or ""))
+    assert all(r.source_size == sizes[r.source] and 0 <= r.taken <= 2 * r.size for r in out)
+    target = {r.source: r.target for r in out}
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sorted((s for s in sizes if s is not None), key=lambda s: s)) }
+    weight[None] = (3, 1, 2)[len(weight) % 3]
+    left, want, full = 1.5 * sum(sizes.values()), {}, set()
+    while True:  # what is above goes back and is shared anew
+        open_ = [s for s in sizes if s not in full]
+        level = (left - sum(2 * sizes[s] for s in full)) / sum(weight[s] for s in open_)
+        over = {s for s in open_ if level * weight[s] > 2 * sizes[s]}
+        if not over:
+            break
+        full |= over
+    want = {s: 2 * sizes[s] if s in full else level * weight[s] for s in sizes}
+    assert all(math.isclose(target[s], want[s], rel_tol=1e-12) for s in sizes)
+    for s in sizes:
+        rows = [r for r in out if r.source == s]
+        assert abs(sum(r.taken for r in rows) - target[s]) <= max(r.size for r in rows) / 2 + 1
+        assert all(r.taken >= r.size * int(target[s] // sizes[s]) for r in rows)
+    assert sorted(map(repr, out)) == sorted(map(repr, mix_sources(odd.repartition(5)).collect()))
+    assert mix_sources(none).count() == 0
+    silent = mix_sources(odd.where("doc_id in (30, 31, 32)")).collect()
+    assert [(r.taken, r.target) for r in silent] == [(0, 0.0)] * 3
+
+
+def test_better_documents_come_first(spark):
+    rows = [(k, ("# $ " if k % 2 else "word and ") * 20, "s", 0) for k in range(4000)] + [(9999, "w " * 2000, "t", 0)]
+    out = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string, n int"), share=0.4)
+    taken = [r.doc_id for r in out.where("source = 's' and taken > 0").collect()]
+    assert 0.05 < sum(k % 2 for k in taken) / len(taken) < 0.35
+
+
+def test_quality_rules(odd, none):
+    field = learn_field(*(odd.sparkSession.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels")))
+    want = []
+    for i, t, _ in odd_rows():
+        t = t or ""
+        w = WORD.findall(t)
+        windows = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        repeat = {k + j for k in range(len(w) - 2) for j in range(3) if windows[tuple(w[k : k + 3])] > 1}
+        seen, dup = set(), 0
+        for line in t.split("\n"):
+            if WORD.search(line):
+                dup += line in seen
+                seen.add(line)
+        failed = len(w) < 50 or 100 * len(repeat) > 50 * len(w)
+        want.append((i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(repeat), failed))
+    out = judge_lines(odd, field)
+    assert rows_of(out, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == sorted(want, key=repr)
+    assert all(not r.kept or not r.base_failed for r in out.collect()) and judge_lines(none, field).count() == 0
+    assert learn_field(none, odd.sparkSession.createDataFrame([], "doc_id long, quality int")).state.sum() == 0
+
+
+def test_quality_classifier(odd, none):
+    docs, labels = (odd.sparkSession.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    out = score_quality(odd, learn_quality(docs, labels))
+    assert out.columns == [*(c for c in odd.columns if c != "score"), "score", "predicted"]
+    assert out.count() == len(odd_rows()) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in out.collect())
+    assert score_quality(none, RuleEnsemble()).count() == 0
+    assert {r.score for r in score_quality(odd, learn_quality(none, labels)).collect()} == {0.5}
+
+
+def test_language_id(odd, none):
+    docs = odd.sparkSession.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    net = learn_languages(docs)
+    right = [r.lang == r.lang_pred for r in identify_languages(docs, net).join(docs.select("doc_id", "lang"), "doc_id").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert sum(right) / len(right) > 0.97
+    out = {r.doc_id: r for r in identify_languages(odd, net).collect()}
+    assert all(out[k].lang_pred == "und" and out[k].score == 0 for k in (30, 31, 32)) and out[33].lang_pred in net.langs
+    numbers = odd.sparkSession.createDataFrame([(1, "12 34 !?"), (2, "² ½ Ⅷ"), (3, "é")], "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in identify_languages(numbers, net).orderBy("doc_id").collect()] == [True, True, False]
+    assert identify_languages(none, net).count() == 0
+    assert learn_languages(docs.limit(0)) is None and {r.lang_pred for r in identify_languages(odd, None).collect()} == {"und"}
+
+
+def test_bpe(odd, none):
+    from alidade.llm.bpe import bpe_round_trip, encoding
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    enc, _ = encoding(path, public_tokenizers.PATTERN)
+    for chunk in (100_000, 50):
+        out = bpe_round_trip(odd, path, public_tokenizers.PATTERN, chunk_chars=chunk)
+        want = [(i, bytearray(np.array(enc.encode_ordinary(t or ""), "<u4").tobytes()), bytearray((t or "").encode())) for i, t, _ in odd_rows()]
+        assert rows_of(out, "doc_id", "ids", "decoded") == sorted(want, key=repr)
+    assert bpe_round_trip(none, path, public_tokenizers.PATTERN).count() == 0
+
+
+def test_html(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    want = []
+    for r in pages.collect():
+        article = re.search(r"<article>(.*?)</article>", r.html, re.DOTALL)[1]
+        blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)\b[^>]*>", article.replace("<br>", " "))]
+        want.append((r.page_id, r.url, "\n\n".join(b for b in blocks if b)))
+    assert rows_of(extract_text(pages), "page_id", "url", "text") == sorted(want, key=repr)
+    notice = "<p>We use biscuits on all of our pages and you should like them</p>"
+    made = [(k, "http://h.example/%d" % k, f"<body>{notice}<p>text of its own number {k} that stands nowhere else at all</p></body>", "x") for k in range(4)]
+    made += [(9, None, None, "x"), (9, None, None, "x"), (10, "", "", "x"), (11, "http://h.example/", notice, "x")]
+    out = extract_text(spark.createDataFrame(made, "page_id long, url string, html string, host string"), shard_pages=100)
+    got = {r.page_id: r.text for r in out.collect()}
+    assert out.count() == 8 and got[2] == "text of its own number 2 that stands nowhere else at all" and got[9] == got[10] == got[11] == ""
+    assert extract_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_against_sql(spark, name):
+    con = duckdb.connect()
+    for f in os.listdir(DATA):
+        con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{DATA}/{f}'")
+    df = queries.QUERIES[name](spark, DATA)
+    result = con.execute(queries.ORACLE_SQL[name])
+    columns = [c[0] for c in result.description]
+    assert rows_of(df, *columns) == sorted(result.fetchall(), key=repr) and sorted(columns) == sorted(df.columns)
+
+
+def test_queries_have_the_columns_asked_for(spark):
+    want = {
+        "op1": "doc_id held_out score predicted", "op2": "doc_id n_bytes n_removed n_spans kept_sha256", "op3": "doc_id size source_size target taken", "op4": "doc_id n_shingles component_id",
+        "op5": "doc_id held_out lang_pred score", "op6": "doc_id keep_id group_size kept text_sha256", "op7": "page_id url text n_chars", "op8": "doc_id n_words n_removed kept_sha256",
+        "op9": "doc_id n_tokens ids_sha256 decoded_sha256", "op10": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+    }
+    for name, query in queries.QUERIES.items():
+        assert query(spark, DATA).columns == want[name.split("_")[0]].split()
+
+
+def test_pipeline(spark, tmp_path):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    steps = dict(corpus_pipeline.STAGES)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "n-gram Jaccard join", "mixing sources to target weights", "byte-level BPE"]
+    good = steps["quality classifier"](spark, docs, DATA)
+    quality = {r.doc_id: r.quality for r in labels.collect()}
+    stays = {r.doc_id for r in good.collect()}
+    assert good.columns == docs.columns and all((k in stays) == (q == 1) for k, q in quality.items())
+    extra = [(900, None, "en", "s", 0), (901, "", "en", "s", 0), (None, "a b c d e f", "en", None, 1), (907, "Twice here", "en", "s", 2), (907, "Twice here", "en", "s", 2), (908, "twice here", "de", "s", 2)]
+    some = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    rows = some.collect()
+    exact = steps["exact dedup"](spark, some, DATA)
+    groups = collections.defaultdict(list)
+    for r in rows:
+        groups[lower(r.text or "")].append(-1 if r.doc_id is None else r.doc_id)
+    assert exact.columns == docs.columns and sorted(-1 if r.doc_id is None else r.doc_id for r in exact.collect()) == sorted(max(g) for g in groups.values())
+    again = docs.unionByName(docs.where("doc_id < 3"))
+    assert steps["exact dedup"](spark, again, DATA).count() == steps["exact dedup"](spark, docs, DATA).count()
+    kept = exact.collect()
+    near = steps["n-gram Jaccard join"](spark, exact, DATA)
+    found = brute_components([(-1 if r.doc_id is None else r.doc_id, r.text, None) for r in kept], 5, 80)
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in near.collect()) == sorted({c for _, _, c in found})
+    mixed = steps["mixing sources to target weights"](spark, near, DATA)
+    times = collections.Counter(r.doc_id for r in mixed.collect())
+    taken = {r.doc_id: r.taken // r.size for r in mix_sources(near.withColumn("doc_id", near.doc_id)).collect() if r.size}
+    assert mixed.columns == docs.columns and max(times.values()) <= 2 and abs(sum(times.values()) - sum(taken.values())) <= 0.2 * sum(taken.values())
+    coded = steps["byte-level BPE"](spark, mixed, DATA).collect()
+    text = {r.doc_id: r.text for r in mixed.collect()}
+    assert sum(times.values()) == len(coded) and all(r.decoded_sha256 == hashlib.sha256((text[r.doc_id] or "").encode()).hexdigest() and len(r.ids) == 4 * r.n_tokens for r in coded)
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, docs.limit(0), DATA).count() == 0, name
+
+
+def test_the_rest_works_without_this_subpackage():
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'pipeline' not in e.queries() and 'daily_panel' in e.queries() and not any('op1' in q for q in e.oracle_sql())"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(corpus_pipeline.__file__))
