@@ -73,7 +73,7 @@ def _learn_step(net: ByteNet, x: np.ndarray, y: np.ndarray) -> tuple[float, list
     p[np.arange(n), y] -= 1
     p /= n
     g_h = (p @ net.out.T) * (h > 0)
-    g_e = np.zeros(net.embedding.shape, np.float32)
+    g_e = np.zeros_like(net.embedding)
     g_kernels, g_biases, k0 = [], [], 0
     rows = np.arange(n)[:, None]
     for kernel, seen, best in zip(net.filters, columns, at, strict=True):
