@@ -5,7 +5,7 @@ A window is a run of `window` symbols (bytes or words) of one text. Its anchor i
 The anchor depends on the window's content alone, so equal windows have equal anchors. A span is what
 neighbouring windows with the same anchor cover. Spans of anchors that occur once are left out. Of the others, equal spans are one class.
 A window stands in one span only. Thus whoever has all classes of an anchor can tell how often each of its
-windows occurs; such shards are dealt by anchor. A passage that very many texts share has common anchors in
+windows occurs; such shards are dealt by anchor, of anchors that have several classes. A passage that very many texts share has common anchors in
 its inner windows only, whose spans are the same in each text, so that its classes stay few; windows on its edge
 hold rarer n-grams.
 """
@@ -17,11 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alidade.llm.common import id_field, keyed, offsets_and_bytes, saved, small_batches
+from alidade.llm.common import id_field, if_small, keyed, offsets_and_bytes, saved, small_batches
 from alidade.llm.sketch import level_of, sketch_levels
 from alidade.llm.words import byte_codes, span_hashes, window_hashes, word_hashes, word_spans
 
@@ -133,12 +133,14 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str, unit: Unit, solv
         twice = spans.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor")
     else:
         twice = spans.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
+    # Written first, so that either this side is broadcast or the join may split the rows of a hot anchor.
+    twice = if_small(saved(twice, "repeat-anchors"))
     spans = saved(spans.join(twice, "anchor", "left_semi"), "repeat-spans")
-    classes = saved(
-        spans.groupBy("anchor", "span").agg(F.count("*").alias("times"), F.min("id").alias("least"), F.first("r").alias("r"), F.first("start").alias("start"), F.first("count").alias("count")),
-        "repeat-classes",
-    )
-    wanted = classes.groupBy("r").agg(F.collect_list(F.struct("anchor", "span", "start", "count", "times", "least")).alias("asked"))  # no more than a text has spans
+    classes = spans.groupBy("anchor", "span").agg(F.count("*").alias("times"), F.min("id").alias("least"), F.first("r").alias("r"), F.first("start").alias("start"), F.first("count").alias("count"))
+    # A class that has its anchor alone has nothing to be compared with: all its windows occur as often as itself.
+    classes = saved(classes.withColumn("classes", F.count("*").over(Window.partitionBy("anchor"))), "repeat-classes")
+    several = classes.where("classes > 1")
+    wanted = several.groupBy("r").agg(F.collect_list(F.struct("anchor", "span", "start", "count", "times", "least")).alias("asked"))  # no more than a text has spans
     content = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("span", T.LongType()), T.StructField("times", T.LongType()), id_field(docs, id_col, "least"),
                             T.StructField("content", T.BinaryType())])
 
@@ -184,10 +186,11 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str, unit: Unit, solv
         if held:
             yield solved()
 
-    contents = base.join(wanted, "r").select("text", "asked").mapInArrow(fetch, content)
+    some = base.join(if_small(several.select("r").distinct()), "r", "left_semi")
+    contents = some.join(wanted, "r").select("text", "asked").mapInArrow(fetch, content)
     covers = contents.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(shard, cover)
-    classes = saved(classes.select("anchor", "span", "times", "least").join(covers, ["anchor", "span"]), "repeat-covers")
-    hit = spans.join(classes, ["anchor", "span"])
+    covers = classes.select("anchor", "span", "times", "least").join(saved(covers, "repeat-covers"), ["anchor", "span"], "left")
+    hit = spans.join(saved(covers, "repeat-classes"), ["anchor", "span"])
     whole = F.col("id") > F.col("least") if earlier else F.col("times") > 1
     all_of_it = F.array(F.lit(0), F.col("count") + F.lit(window - 1))
     parts = hit.select("r", "start", F.when(whole, all_of_it).otherwise(F.col("cover")).alias("cover")).where(F.size("cover") > 0)

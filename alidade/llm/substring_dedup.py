@@ -103,7 +103,7 @@ def context_order(symbols: np.ndarray, longest: int) -> np.ndarray:
     order = np.argsort(rank, kind="stable")
     while done < longest:
         after = np.zeros(n, np.int64)
-        after[: n - done] = rank[done:] + 1
+        after[: max(n - done, 0)] = rank[done:] + 1
         key = rank * (n + 2) + after
         order = np.argsort(key, kind="stable")
         new = np.ones(n, np.int64)
