@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of an Arrow batch are cut so that Python holds about this many bytes of text at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,12 +41,59 @@ def _own_dir() -> str:
     return f"file://{_OWN[0]}"
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def _remove_written() -> None:
+    """Delete this process's tables when it ends; by Spark, or if that has stopped, where the folder is a local one."""
+    for spark, path in _WRITTEN:
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001  nothing more can be done at exit
+            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+    _WRITTEN.clear()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete saved tables that nothing reads any more, and have finished jobs' shuffle files removed, which follows the JVM's garbage collection."""
+    for df in tables:
+        _delete(df.sparkSession, df._alidade_path)
+        _WRITTEN[:] = [w for w in _WRITTEN if w[1] != df._alidade_path]
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The result of make, saved; all tables that were saved on the way are deleted."""
+    before = {path for _, path in _WRITTEN}
+    out = saved(make(), name)
+    spark = out.sparkSession
+    for path in [path for _, path in _WRITTEN if path not in before and path != out._alidade_path]:
+        _delete(spark, path)
+        _WRITTEN[:] = [w for w in _WRITTEN if w[1] != path]
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage is cut and survives lost executors."""
+    """Write df as a table in the shared folder and read it back: lineage is cut and survives lost executors.
+
+    Tables last as long as the driver's process, if they are not released before.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/alidade-{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_remove_written)
+    _WRITTEN.append((spark, path))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._alidade_path = path
+    return out
 
 
 #: Rows of a few numbers each that are broadcast at most, some tens of MB.

@@ -6,13 +6,14 @@ A row is known by its id and 96 bits of hashes of id and text, so rows that shar
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alidade.llm.bpe import bpe_round_trip
-from alidade.llm.common import if_small, saved, table
+from alidade.llm.common import if_small, saved, settled, table
 from alidade.llm.exact_dedup import exact_dedup
 from alidade.llm.mixing import mix_sources
 from alidade.llm.ngram_join import jaccard_components
@@ -49,7 +50,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays, and of equal rows one."""
     marked = _marked(docs)
-    found = saved(exact_dedup(marked, id_col="_row").select("_row", "kept"), "pipeline-exact")
+    found = settled(lambda: exact_dedup(marked, id_col="_row").select("_row", "kept"), "pipeline-exact")
     # Rows that are equal in id and text have the same marks: they go if none of them stays, else one of them stays.
     kept = found.where("kept").select("_row")
     gone = if_small(saved(_keys(found.where("not kept").select("_row").distinct().join(kept, "_row", "left_anti")), "pipeline-gone"))
@@ -59,15 +60,14 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are linked by a similarity of 0.8 or more of their five-word shingles, the one with the smallest doc_id stays."""
     marked = _marked(docs)
-    found = jaccard_components(marked, id_col="_row", n=5, percent=80)
-    gone = if_small(saved(_keys(found.where(F.col("_row") != F.col("component_id")).select("_row")), "pipeline-near"))
+    gone = if_small(settled(lambda: _keys(jaccard_components(marked, id_col="_row", n=5, percent=80).where(F.col("_row") != F.col("component_id")).select("_row")), "pipeline-near"))
     return marked.drop("_row").join(gone, list(_MARKS), "left_anti").select(*docs.columns)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; documents without a word are not taken."""
     marked = _marked(docs)
-    taken = saved(mix_sources(marked, id_col="_row").where("taken > 0").select("_row", F.expr("int(taken / size)").alias("_times")), "pipeline-mix")
+    taken = settled(lambda: mix_sources(marked, id_col="_row").where("taken > 0").select("_row", F.expr("int(taken / size)").alias("_times")), "pipeline-mix")
     # Rows that are equal in id and text have the same marks: one of them stands for all that they take.
     times = if_small(saved(_keys(taken).groupBy(*_MARKS).agg(F.sum("_times").alias("_times")), "pipeline-taken"))
     rows = _once(marked.drop("_row"), taken).join(times, list(_MARKS))
@@ -96,5 +96,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents; what each stage keeps is written before the next one reads it."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        docs = settled(partial(stage, spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
