@@ -4,7 +4,8 @@ A text's set holds the hashes of its distinct word n-grams. All sets are ordered
 first, as a sketch of counts over all texts tells. Two sets of n and m members that link share at least t(n) and
 t(m) members, so their first n - t(n) + l and m - t(m) + l members have l in common, for any l. Each
 set takes the l that makes its estimated cost least: a longer prefix costs more postings, but asks for
-more shared members before a pair is verified. A pair needs the smaller of its two l.
+more shared members before a pair is verified. A pair needs the smaller of its two l. Verification first bounds what
+a pair can share by the counts of its members' leading bytes, and then compares the whole sets.
 
 Equal sets are one class from the start. Classes that share prefix members first meet only the leaders of
 these members' lists. Pairs that this has put in one component are left out when the lists are searched
@@ -18,13 +19,15 @@ members are told apart by 64-bit hashes and sets by 128-bit ones; an empty table
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alidade.llm.common import id_field, keyed, map_texts, offsets_and_bytes, saved
+from alidade.llm.common import id_field, if_small, keyed, map_texts, offsets_and_bytes, release, saved
 from alidade.llm.components import components
 from alidade.llm.sketch import SKETCH_BITS, noise_level, sketch_levels
 from alidade.llm.words import LOWER, mix, word_hashes, word_spans
@@ -64,6 +67,18 @@ def need(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return (percent * n + 99) // 100
 
 
+def spread(members: np.ndarray) -> bytes:
+    """How many members have each leading byte, in the narrowest type that holds the counts."""
+    counts = np.bincount((members >> np.uint64(56)).astype(np.int64), minlength=256)
+    return counts.astype(next(t for t in (np.uint8, np.uint16, np.uint32) if counts.max() <= np.iinfo(t).max)).tobytes()
+
+
+def most_shared(one: bytes, other: bytes) -> int:
+    """A bound on the members that two sets share: for each leading byte no more than the smaller count."""
+    a, b = (np.frombuffer(x, (np.uint8, np.uint16, np.uint32)[len(x) // 512]) for x in (one, other))
+    return int(np.minimum(a, b).sum(dtype=np.int64))
+
+
 def prefix(members: np.ndarray, levels: np.ndarray, noise: float, percent: int) -> tuple[np.ndarray, int]:
     """The members that are posted, and how many of them a partner must share."""
     if not len(members):
@@ -88,19 +103,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     noise = noise_level(levels)
     cell = texts.sparkSession.sparkContext.broadcast(levels)
     schema = T.StructType([id_field(docs, id_col), T.StructField("e", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("need", T.IntegerType()),
-                           T.StructField("tokens", T.ArrayType(T.LongType()))])
+                           T.StructField("spread", T.BinaryType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
 
     def described(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(*reversed(offsets_and_bytes(batch.column("text"))), n)
         rows = [prefix(s, cell.value, noise, percent) for s in sets]
         limits = np.concatenate([[0], np.cumsum([len(p) for p, _ in rows])]).astype(np.int32)
         tokens = pa.ListArray.from_arrays(pa.array(limits), pa.array(np.concatenate([p for p, _ in rows]).astype(np.uint64).view(np.int64)))
-        columns = [pa.array([set_name(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([m for _, m in rows], pa.int32()), tokens]
+        columns = [pa.array([set_name(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([m for _, m in rows], pa.int32()), pa.array([spread(s) for s in sets], pa.binary()), tokens]
         return pa.RecordBatch.from_arrays([batch.column("id"), *columns], schema.names)
 
     rows = saved(map_texts(texts, described, schema), "ngram-rows")
     key = F.xxhash64("e")
-    sets = saved(rows.where("n > 0").groupBy("e").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("need").alias("need")).withColumn("k", key), "ngram-sets")
+    sets = saved(rows.where("n > 0").groupBy("e").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("need").alias("need"), F.first("spread").alias("spread")).withColumn("k", key), "ngram-sets")
     posted = rows.where("n > 0").select(key.alias("k"), F.explode("tokens").alias("token"))
     lists = posted.groupBy("token").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low < high")
     posted = saved(posted.join(lists, "token").select("token", "k", "low", "high"), "ngram-lists")
@@ -120,7 +135,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     left = named.select("token", F.col("k").alias("ka"), F.col("root").alias("ra"))
     pairs = left.join(right, "token").where("ka < kb and ra <> rb").groupBy("ka", "kb").agg(F.count("*").alias("shared"))
     edges.append(_verified(_candidates(pairs, sets, roots, percent), texts, docs, n, percent))
+    release(posted, named, sets)
     roots = components(_union(edges), "ngram-components")
+    release(*edges)
     member = rows.select("id", "e", "n").join(roots, F.col("e") == F.col("node"), "left").select("id", "n", F.coalesce("root", "e").alias("root"))
     least = member.where("n > 0").groupBy("root").agg(F.min("id").alias("least"))
     found = member.join(least, "root", "left")
@@ -145,7 +162,23 @@ def _candidates(pairs: DataFrame, sets: DataFrame, roots: DataFrame | None, perc
         ra, rb = roots.toDF("nodea", "roota"), roots.toDF("nodeb", "rootb")
         out = out.join(ra, F.col("ea") == F.col("nodea"), "left").join(rb, F.col("eb") == F.col("nodeb"), "left")
         out = out.where(F.coalesce("roota", "ea") != F.coalesce("rootb", "eb"))
-    return saved(out.select("ea", "eb", "ida", "idb", "na", "nb"), "ngram-candidates")
+    narrow = saved(out.select("ea", "eb", "ida", "idb", "na", "nb"), "ngram-pairs")
+    pairs = if_small(narrow)
+    # Most pairs go by the bound of their spreads, without a look at their texts.
+    one = sets.select(F.col("e").alias("ea"), F.col("spread").alias("sa")).join(pairs, "ea")
+    other = sets.select(F.col("e").alias("eb"), F.col("spread").alias("sb")).join(pairs.select("ea", "eb"), "eb")
+    both, names = one.join(other, ["ea", "eb"]), pairs.columns
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shared = np.array([most_shared(x, y) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)], np.int64)
+            total = np.asarray(batch.column("na")).astype(np.int64) + np.asarray(batch.column("nb"))
+            fits = pa.array(shared * 100 >= (total - shared) * percent)
+            yield batch.select(names).filter(fits)
+
+    out = saved(both.mapInArrow(bounded, pairs.schema), "ngram-candidates")
+    release(narrow)
+    return out
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -161,10 +194,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, n: int, perce
         values = np.concatenate([sets[k] for k in right]) if right else np.zeros(0, np.uint64)
         return pa.RecordBatch.from_arrays([pa.array([asked[k] for k in right], pa.binary()), pa.ListArray.from_arrays(pa.array(limits), pa.array(values.view(np.int64)))], ["e", "members"])
 
-    sets = map_texts(texts.join(wanted, F.col("id").eqNullSafe(F.col("want"))).select("e", "text"), members, schema)
+    sets = map_texts(texts.join(if_small(wanted), F.col("id").eqNullSafe(F.col("want"))).select("e", "text"), members, schema)
     sets = saved(sets.dropDuplicates(["e"]), "ngram-members")
     a, b = sets.toDF("ea", "ma"), sets.toDF("eb", "mb")
     shared = F.size(F.array_intersect("ma", "mb"))
     found = pairs.join(a, "ea").join(b, "eb").withColumn("shared", shared)
     links = found.where(F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * percent)
-    return saved(links.select(F.col("ea").alias("a"), F.col("eb").alias("b")), "ngram-links")
+    out = saved(links.select(F.col("ea").alias("a"), F.col("eb").alias("b")), "ngram-links")
+    release(sets, pairs)
+    return out
