@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of an Arrow batch are cut so that Python holds about this many bytes of text at once.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,7 +97,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Rows of a few numbers each that are broadcast at most, some tens of MB.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 250_000
 
 
 def if_small(df: DataFrame) -> DataFrame:
