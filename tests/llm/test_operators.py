@@ -307,6 +307,18 @@ def test_html(spark):
     assert extract_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shard_pages", [1, 7, 256])
+def test_repetition_over_a_whole_host(spark, shard_pages):
+    """Two of 600 pages share a notice; it goes, however many pages a suffix array is built for."""
+    notice = "<p>only two pages of this large host have this notice of ours</p>"
+    own = {k: " ".join(f"u{k}x{j}" for j in range(12)) for k in range(600)}
+    made = [(k, f"http://big.example/{k}", f"<body>{notice if k in (3, 590) else ''}<p>{own[k]}</p></body>") for k in range(600)]
+    made.append((1000, "http://other.example/", f"<body>{notice}</body>"))
+    out = extract_text(spark.createDataFrame(made, "page_id long, url string, html string").repartition(4), shard_pages=shard_pages)
+    got = {r.page_id: r.text for r in out.collect()}
+    assert got == own | {1000: notice[3:-4]}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
