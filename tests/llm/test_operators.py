@@ -319,6 +319,27 @@ def test_repetition_over_a_whole_host(spark, shard_pages):
     assert got == own | {1000: notice[3:-4]}
 
 
+def test_repeated_runs_are_cut_out_of_blocks(spark):
+    notice = "we use biscuits on all of our pages and like them"
+    u = [" ".join(f"u{k}x{j}" for j in range(n)) for k, n in enumerate([6, 6, 30, 12, 12, 40])]
+    made = [
+        (0, "http://h.example/0", f"<div>{u[0]}<br>{notice}<br>{u[1]}</div>"),  # more than half is repeated
+        (1, "http://h.example/1", f"<div>{u[2]} {notice}</div><p>{notice}</p>"),  # less than half, and all of a block
+        (2, "http://h.example/2", f"<nav>here</nav><p>{u[3]}</p><p>{notice} {u[4]}</p>"),
+        (3, "http://h.example/2?print", f"<nav>there</nav><p>{u[3]}</p><p>{notice} {u[4]}</p>"),  # mirrors
+        (4, "http://m.example/a", f"<p>{u[5]}</p>"), (5, "http://m.example/b", f"<p>{u[5]}</p>"),
+        (6, "http://n.example/", f"<p>{u[3]} x</p>"), (6, "http://n.example/", f"<p>{u[3]} y</p>"),  # one page, read twice
+        (10, "http://l.example/1", f"<ul><li>go home<li>see the shop<li>ask our staff</ul><p>as ever {u[0]}</p>"),
+        (11, "http://l.example/2", f"<ul><li>go home<li>see the shop<li>ask our staff</ul><p>as ever {u[1]}</p>"),
+        (7, None, f"<p>{notice} one</p>"), (8, "/relative", f"<p>{notice} two</p>"), (9, "", f"<p>{notice} three</p>"),
+    ]
+    out = extract_text(spark.createDataFrame(made, "page_id long, url string, html string").repartition(3), shard_pages=2)
+    want = [(0, f"{u[0]} {u[1]}"), (1, u[2]), (2, f"{u[3]}\n\n{u[4]}"), (3, f"{u[3]}\n\n{u[4]}"), (4, u[5]), (5, u[5]), (6, f"{u[3]} x"), (6, f"{u[3]} y")]
+    want += [(7, f"{notice} one"), (8, f"{notice} two"), (9, f"{notice} three")]
+    want += [(10, f"as ever {u[0]}"), (11, f"as ever {u[1]}")]
+    assert rows_of(out, "page_id", "text") == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
