@@ -7,6 +7,7 @@ import random
 import numpy as np
 import public_tokenizers
 import tiktoken
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -222,6 +223,20 @@ def test_odd_pages():
     assert html_text.read_blocks('<p title="a>b">x</p>') == [("x", html_text.OPEN)]
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<article style="overflow:hidden"><p>x</p></article>', '<article data-id="share" data-hidden="1"><p>x</p></article>', '<div title=\'a class="ad" id=nav\'><article><p>x</p></article></div>',
+        '<main class="post no-sidebar has-comments"><p>x</p></main>', '<article><h2 id="related-work">x</h2></article>', '<article class="share"><p>x</p></article>', '<div id="modal"><main><p>x</p></main></div>',
+        '<div class="widget"><div><article><p>x</p></article></div></div>', '<article><p class=x title="hidden">x</p><p class="a share">no</p><p hidden>no</p><div id=comments>no</div></article>',
+        '<article><p>x</p></article><div class="related"><article>no</article></div>', '<main><p>x</p><section id="comments"><article class="comment">no<article>no</article></article></section></main>',
+        '<article hidden>no</article><main>x</main><div aria-hidden="true"><main>no</main></div>', '<article class="post" class="ad"><p id="x" id="share">x</p></article>',
+    ],
+)
+def test_attributes_that_do_not_drop_the_main_text(page):
+    assert kept(page) == ["x"]
+
+
 def test_repeated_tokens():
     line = "one two three four five six seven eight nine"
     pages = [[line, "only here " * 5], ["first", line], [line + " " + line], []]
