@@ -171,19 +171,30 @@ class Field:
         return labels
 
 
-def train_field(codes: list[np.ndarray], labels: list[int], rounds: int = 120, rate: float = 0.2, decay: float = 1e-3) -> Field:
-    """Maximise the conditional log likelihood of label sequences, each text's lines having one label."""
+def line_blocks(codes: list[np.ndarray], size: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """All lines of all texts in blocks of at most `size`, and the text of each block; a block begins with the last line of the one before, so that no transition is lost."""
+    blocks = [(c[a : a + size], k) for k, c in enumerate(codes) for a in range(0, max(len(c) - 1, 1), size - 1)]
+    return [b for b, _ in blocks], np.array([k for _, k in blocks])
+
+
+def train_field(codes: list[np.ndarray], labels: list[int], rounds: int = 120, rate: float = 0.2, decay: float = 1e-3, block_lines: int = 48) -> Field:
+    """Maximise the conditional log likelihood of label sequences, each text's lines having one label.
+
+    Longer texts are sequences of at most block_lines lines, all of which are used; this bounds the steps of a round, not what is learned from.
+    """
     field = Field(np.zeros((N_FEATURES, 2)), np.zeros((2, 2)))
     if len(set(labels)) < 2:
         return field
+    codes, text_of = line_blocks(codes, block_lines)
     length = np.array([len(c) for c in codes])
     x = np.zeros((len(codes), length.max()), np.int64)
     for row, c in zip(x, codes, strict=True):
         row[: len(c)] = c
     live = np.arange(x.shape[1]) < length[:, None]
-    y = np.array(labels)
-    # Both kinds of text count alike, and each line of a text.
-    weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()) / length
+    each = np.array(labels)
+    y = each[text_of]
+    # Both kinds of text count alike, each text of a kind, and each line of a text.
+    weight = np.where(y == 1, 0.5 / (each == 1).sum(), 0.5 / (each == 0).sum()) / np.bincount(text_of, length)[text_of]
     hot = one_hot(x)
     moments = [np.zeros(N_FEATURES * 2 + 4) for _ in range(2)]
     for turn in range(1, rounds + 1):
@@ -228,13 +239,13 @@ def sample_labels(labels: DataFrame, most: int, id_col: str = "doc_id", label_co
     return rows.groupBy(F.col(id_col).alias("label_id")).agg(F.min(label_col).cast("int").alias("label")).orderBy(F.xxhash64("label_id"), "label_id").limit(most)
 
 
-def learn_field(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_docs: int = 1500, most_lines: int = 48) -> Field:
-    """Train on at most most_docs labelled texts, the first most_lines lines of each: a text of label 1 stands for content."""
+def learn_field(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_docs: int = 1500) -> Field:
+    """Train on all lines of at most most_docs labelled texts: a text of label 1 stands for content."""
     schema = T.StructType([T.StructField("codes", T.BinaryType()), T.StructField("label", T.IntegerType())])
 
     def coded(batch: pa.RecordBatch) -> pa.RecordBatch:
         lines = describe(*reversed(offsets_and_bytes(batch.column("text"))))
-        kept = [lines.codes[a : min(z, a + most_lines)].tobytes() for a, z in zip(lines.first, lines.first[1:], strict=False)]
+        kept = [lines.codes[a:z].tobytes() for a, z in zip(lines.first, lines.first[1:], strict=False)]
         return pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), batch.column("label")], ["codes", "label"])
 
     chosen = F.broadcast(sample_labels(labels, most_docs, id_col, label_col))

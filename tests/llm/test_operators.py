@@ -256,6 +256,16 @@ def test_quality_rules(odd, none):
     assert learn_field(none, odd.sparkSession.createDataFrame([], "doc_id long, quality int")).state.sum() == 0
 
 
+def test_quality_rules_learn_from_late_lines(spark):
+    """Texts of both kinds begin alike; only lines after the first hundred differ."""
+    head = "\n".join(f"plain words of line {k} that go on." for k in range(100))
+    rows = [(k, head + ("\n# $ | # $ |" if k % 2 else "\nplain words to the end.") * 60) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    field = learn_field(docs, spark.createDataFrame([(k, 1 - k % 2) for k in range(40)], "doc_id long, quality int"))
+    out = {r.doc_id: r.content_words / r.n_words for r in judge_lines(docs, field).collect()}
+    assert all(out[k] > 0.9 if k % 2 == 0 else out[k] < 0.9 for k in range(40))
+
+
 def test_quality_classifier(odd, none):
     docs, labels = (odd.sparkSession.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
     out = score_quality(odd, learn_quality(docs, labels))
