@@ -12,6 +12,7 @@ rows every text is `und`.
 
 from __future__ import annotations
 
+import collections
 from dataclasses import dataclass
 
 import numpy as np
@@ -150,16 +151,39 @@ def cut_windows(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.nd
     return out, text_of, used
 
 
+def share_rows(counts: dict[str, int], most: int) -> dict[str, tuple[int, int]]:
+    """For each language the rows to take, alike as far as there are rows and one at least, and the rows it has."""
+    out, left = {}, most
+    for k, (lang, count) in enumerate(sorted(counts.items(), key=lambda c: (c[1], c[0]))):
+        take = max(1, min(count, left // (len(counts) - k)))
+        out[lang] = (take, count)
+        left -= take
+    return out
+
+
 def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_docs: int = 4000, windows_a_doc: int = 3, size: int = 128) -> ByteNet | None:
-    """Train on windows of at most most_docs rows, by the order of a hash of the id; rows with crc32(id) mod 4 = 2 are held out.
+    """Train on windows of at most most_docs rows, or one row of each language; rows with crc32(id) mod 4 = 2 are held out.
 
-    The first windows_a_doc windows of each of these rows are used, one of them also shortened, so that short texts are known too.
+    Languages share most_docs alike, and what a rare one leaves goes to the others; of each language, rows are taken by the order of a hash of
+    the id. windows_a_doc windows spread evenly over each of these rows are used, and its beginning once more, shortened, so that short texts are known too.
     """
     code = F.crc32(F.col(id_col).cast("string"))
     rows = docs.filter(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (code % 4 != 2))
-    # The limit is by hashes alone; texts are cut to the windows before they meet.
-    cut = F.substring(F.encode(text_col, "UTF-8"), 1, windows_a_doc * size).alias("text")
-    part = rows.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(lang_col).alias("lang"), cut).orderBy("h", "lang", "text").limit(most_docs).collect()
+    takes = share_rows({r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}, most_docs)
+    if not takes:
+        return None
+    # Hashes are even, so a bound on them leaves about twice the rows that are taken; the least of these are the least of all.
+    bounds = rows.sparkSession.createDataFrame([(lang, min(1.0, 2 * (take + 50) / count)) for lang, (take, count) in takes.items()], "lang string, bound double")
+    spread = [F.substring("bytes", F.expr(f"int(1 + (length(bytes) - {size}) * {k}L div {max(windows_a_doc - 1, 1)})"), F.lit(size)) for k in range(windows_a_doc)]
+    # Texts are cut to the windows before they meet.
+    cut = F.when(F.length("bytes") <= windows_a_doc * size, F.col("bytes")).otherwise(F.concat(*spread)).alias("text")
+    hashed = rows.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(lang_col).cast("string").alias("lang"), F.encode(text_col, "UTF-8").alias("bytes"))
+    found = hashed.join(F.broadcast(bounds), "lang").where(F.col("h") / F.lit(2.0**64) + 0.5 <= F.col("bound")).select("h", "lang", cut).collect()
+    part, taken = [], collections.Counter()
+    for r in sorted(found, key=lambda r: (r.h, r.lang, bytes(r.text))):
+        if taken[r.lang] < takes[r.lang][0]:
+            taken[r.lang] += 1
+            part.append(r)
     langs = sorted({r.lang for r in part})
     if not langs:
         return None

@@ -288,6 +288,18 @@ def test_language_id(odd, none):
     assert learn_languages(docs.limit(0)) is None and {r.lang_pred for r in identify_languages(odd, None).collect()} == {"und"}
 
 
+def test_language_id_learns_rare_languages_and_late_windows(spark):
+    """One row in 250 is of a third language, and two of the languages differ after the first 384 bytes only."""
+    head = "0 1 2 3 4 5 6 7 " * 24
+    tail = {"aa": "alpha beta gamma ", "bb": "domo kuri neste ", "cc": "xyz wvu xyzzy "}
+    rows = [(k, lang := "cc" if k % 250 == 1 else ("aa", "bb")[k % 2], head + tail[lang] * 60) for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    net = learn_languages(docs, most_docs=60)
+    assert net.langs == ["aa", "bb", "cc"]
+    got = identify_languages(docs, net).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r.lang == r.lang_pred for r in got) > 0.95 * len(got)
+
+
 def test_bpe(odd, none):
     from alidade.llm.bpe import bpe_round_trip, encoding
 
