@@ -181,6 +181,31 @@ def test_substring_dedup(odd, none):
     assert remove_earlier_passages(none).count() == 0
 
 
+def test_registered_dedup_queries_by_brute_force(spark):
+    """op2 and op8 as registered, at their own windows of 200 bytes and 50 words."""
+    docs = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+    count = collections.Counter(t[k : k + 200] for _, t in docs for k in range(len(t) - 199))
+    least, want = {}, {"op2_suffix_dedup": [], "op8_substring_dedup": []}
+    for i, t in docs:
+        w = t.split()
+        for k in range(len(w) - 49):
+            key = hash(tuple(w[k : k + 50]))
+            least[key] = min(least.get(key, i), i)
+    for i, t in docs:
+        flags, w = np.zeros(len(t) + 2, np.int8), t.split()
+        for k in range(len(t) - 199):
+            if count[t[k : k + 200]] > 1:
+                flags[k + 1 : k + 201] = 1
+        runs, gone = int((np.diff(flags) == 1).sum()), flags[1:-1].astype(bool)
+        want["op2_suffix_dedup"].append((i, len(t), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest()))
+        lost = {k + j for k in range(len(w) - 49) if least[hash(tuple(w[k : k + 50]))] < i for j in range(50)}
+        want["op8_substring_dedup"].append((i, len(w), len(lost), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in lost)).hexdigest()))
+    for name, rows in want.items():
+        df = queries.QUERIES[name](spark, DATA)
+        assert rows_of(df, *df.columns) == sorted(rows, key=repr), name
+        assert sum(r[2] for r in rows) > 0
+
+
 def test_segments(spark, monkeypatch):
     """A text longer than a segment of windows is read in parts."""
     from alidade.llm import repeats
@@ -416,6 +441,19 @@ def test_pipeline(spark, tmp_path):
         assert stage(spark, docs.limit(0), DATA).count() == 0, name
 
 
+def test_mix_stage_row_by_row(spark):
+    """Each row as often as the mix over the same row ids takes it, equal rows together."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    docs = docs.unionByName(docs.where("doc_id < 3"))
+    marked = corpus_pipeline._marked(docs)
+    row = {repr(r["_row"]): tuple(r[c] for c in docs.columns) for r in marked.collect()}
+    want = collections.Counter()
+    for r in mix_sources(marked, id_col="_row").collect():
+        want[row[repr(r["_row"])]] += r.taken // r.size if r.size else 0
+    got = collections.Counter(tuple(r) for r in corpus_pipeline.mix_stage(spark, docs, DATA).collect())
+    assert got == +want and len(got) > 50
+
+
 def test_the_rest_works_without_this_subpackage():
     import subprocess
     import sys
