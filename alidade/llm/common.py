@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -24,11 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is set (tests, local mode) one of our own."""
+    """The cluster's shared folder; only in local mode, and only where none is set, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = _own_dir()
-    return found.rstrip("/")
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (found or _own_dir()).rstrip("/")
 
 
 _OWN: list[str] = []
@@ -41,12 +42,15 @@ def _own_dir() -> str:
     return f"file://{_OWN[0]}"
 
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+#: Paths of all tables of this process that are not deleted yet, with their sessions.
+_WRITTEN: dict[str, SparkSession] = {}
+#: For each thread the paths that were written in the scopes it is in, the innermost last.
+_SCOPES = threading.local()
 
 
 def _remove_written() -> None:
     """Delete this process's tables when it ends; by Spark, or if that has stopped, where the folder is a local one."""
-    for spark, path in _WRITTEN:
+    for path, spark in _WRITTEN.items():
         try:
             _delete(spark, path)
         except Exception:  # noqa: BLE001  nothing more can be done at exit
@@ -55,54 +59,73 @@ def _remove_written() -> None:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    """By Hadoop's file system, as Spark has no public way to delete a folder of any store."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete saved tables that nothing reads any more, and have finished jobs' shuffle files removed, which follows the JVM's garbage collection."""
+    """Delete saved tables that nothing reads any more."""
     for df in tables:
-        _delete(df.sparkSession, df._alidade_path)
-        _WRITTEN[:] = [w for w in _WRITTEN if w[1] != df._alidade_path]
-    if tables:
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+        if _WRITTEN.pop(df._alidade_path, None) is not None:
+            _delete(df.sparkSession, df._alidade_path)
 
 
 def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """The result of make, saved; all tables that were saved on the way are deleted."""
-    before = {path for _, path in _WRITTEN}
-    out = saved(make(), name)
-    spark = out.sparkSession
-    for path in [path for _, path in _WRITTEN if path not in before and path != out._alidade_path]:
-        _delete(spark, path)
-        _WRITTEN[:] = [w for w in _WRITTEN if w[1] != path]
-    spark.sparkContext._jvm.System.gc()
+    """The result of make, saved; all tables that this thread saved on the way are deleted."""
+    scopes = _SCOPES.__dict__.setdefault("open", [])
+    scopes.append([])
+    try:
+        out = saved(make(), name)
+    finally:
+        own = scopes.pop()
+    for path in own:
+        if path != out._alidade_path and (spark := _WRITTEN.pop(path, None)) is not None:
+            _delete(spark, path)
+    if scopes:
+        scopes[-1].append(out._alidade_path)
     return out
 
 
+#: Has Spark remove the shuffle files of a query when it has ended; no saved table reads them again.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage is cut and survives lost executors.
 
-    Tables last as long as the driver's process, if they are not released before.
+    Tables last until they are released, their scope is settled, or the driver's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/alidade-{name}-{uuid.uuid4().hex}"
     if not _WRITTEN:
         atexit.register(_remove_written)
-    _WRITTEN.append((spark, path))
-    df.write.parquet(path)
+    _WRITTEN[path] = spark
+    if scopes := getattr(_SCOPES, "open", None):
+        scopes[-1].append(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._alidade_path = path
     return out
 
 
-#: Rows of a few numbers each that are broadcast at most, some tens of MB.
-BROADCAST_ROWS = 250_000
+#: Rows, and bytes of their values, that are broadcast at most.
+BROADCAST_ROWS, BROADCAST_BYTES = 250_000, 16 << 20
 
 
 def if_small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if a count shows that it has BROADCAST_ROWS at most; else joins shuffle as ever. For narrow rows only."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """df, to be broadcast if a count of its rows and their bytes shows that it is small; else joins shuffle as ever."""
+    wide = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary") or "<" in kind]
+    each = F.lit(8 * len(df.columns)).cast("long")
+    for column in wide:
+        each = each + column
+    rows, size = df.agg(F.count("*"), F.sum(each)).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

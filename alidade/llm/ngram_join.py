@@ -2,38 +2,48 @@
 
 A text's set holds the hashes of its distinct word n-grams. All sets are ordered by the same rule: rarer n-grams
 first, as a sketch of counts over all texts tells. Two sets of n and m members that link share at least t(n) and
-t(m) members, so their first n - t(n) + l and m - t(m) + l members have l in common, for any l. Each
+t(m) members, so their first n - t(n) + l and m - t(m) + l members have l in common, for any l up to t. Each
 set takes the l that makes its estimated cost least: a longer prefix costs more postings, but asks for
-more shared members before a pair is verified. A pair needs the smaller of its two l. Verification first bounds what
-a pair can share by the counts of its members' leading bytes, and then compares the whole sets.
+more shared members before a pair is verified. A pair needs the smaller of its two l.
 
-Equal sets are one class from the start. Classes that share prefix members first meet only the leaders of
-these members' lists. Pairs that this has put in one component are left out when the lists are searched
-for all other pairs, so a large group of near copies does not make all its pairs.
+Equal sets are one class from the start. A class is compared with the leaders of its prefix members' lists first; those that share
+half of what is asked for make a bundle, whose first class is its pivot. Within a bundle pairs are found by differences from the pivot. If D is what
+a class and the pivot do not share, the classes x and y differ in |Dx| + |Dy| - 2 |Dx and Dy| members, so that they link if and only if
+
+    (100 + p) (|Dx| + |Dy|) - (100 - p) (n + m) <= 2 (100 + p) |Dx and Dy|        p: the percentage asked for
+
+which parts into a number of each class, its need, and what their differences share. Classes whose needs add up to nothing link
+without a look, and all such pairs hang together by the class of the least need; all others must share differences, and have enough of them among
+the rarest of the bundle: their prefix again. So a large group of near copies makes neither all its pairs nor those that only seem alike
+because they are copies of one text. Classes of different bundles that share enough prefix members are compared as they are.
+
+Pairs that are in one component already are not made again. No list, bundle or class is cut short, so the links are exact.
 
 Defined results: A-Z are lower-cased; words are parted by the bytes 9 to 13 and 32; a text of fewer
 words than an n-gram has its whole sequence as its one member; a null, empty or blank text has an empty set and
-is linked with nothing, its component being its own id; rows with the same id and text are one class;
+is linked with nothing, its component being its own id; null ids are not the smallest of a component that has others; rows with the same id and text are one class;
 members are told apart by 64-bit hashes and sets by 128-bit ones; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from alidade.llm.common import id_field, if_small, keyed, map_texts, offsets_and_bytes, release, saved
 from alidade.llm.components import components
-from alidade.llm.sketch import SKETCH_BITS, noise_level, sketch_levels
-from alidade.llm.words import LOWER, mix, word_hashes, word_spans
+from alidade.llm.sketch import level_of, noise_level, sketch_levels
+from alidade.llm.words import LOWER, gram_hashes, mix, word_hashes, word_spans
 
-#: The numbers of shared members that a text may ask for.
-MATCHES = (1, 2, 3, 4, 6, 8)
+#: Bytes of text for each n-gram, for the size of the sketch.
+GRAM_BYTES = 7
+#: Other classes that a member is taken to meet by chance, if the sketch knows of none.
+CHANCE = 0.25
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -41,9 +51,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarr
     data = LOWER[data]
     starts, ends, first = word_spans(data, offsets)
     words = word_hashes(data, starts, ends)
-    grams = np.zeros(max(len(words) - n + 1, 0), np.uint64)
-    for k in range(n):
-        grams = mix(grams + words[k : len(words) - n + 1 + k] + np.uint64(k + 1)) if len(grams) else grams
+    grams = gram_hashes(words, n)
     out = []
     for a, z in zip(first.tolist(), first.tolist()[1:], strict=False):
         if z - a >= n:
@@ -67,139 +75,192 @@ def need(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return (percent * n + 99) // 100
 
 
-def spread(members: np.ndarray) -> bytes:
-    """How many members have each leading byte, in the narrowest type that holds the counts."""
-    counts = np.bincount((members >> np.uint64(56)).astype(np.int64), minlength=256)
-    return counts.astype(next(t for t in (np.uint8, np.uint16, np.uint32) if counts.max() <= np.iinfo(t).max)).tobytes()
-
-
-def most_shared(one: bytes, other: bytes) -> int:
-    """A bound on the members that two sets share: for each leading byte no more than the smaller count."""
-    a, b = (np.frombuffer(x, (np.uint8, np.uint16, np.uint32)[len(x) // 512]) for x in (one, other))
-    return int(np.minimum(a, b).sum(dtype=np.int64))
+def matches_up_to(t: int) -> list[int]:
+    """The numbers of shared members that a set may ask for: up to t, a half or a third apart."""
+    out, step = [1], 2
+    while step < t:
+        out += [m for m in (step, step * 3 // 2) if out[-1] < m < t]
+        step *= 2
+    return out + [t] if t > 1 else out
 
 
 def prefix(members: np.ndarray, levels: np.ndarray, noise: float, percent: int) -> tuple[np.ndarray, int]:
-    """The members that are posted, and how many of them a partner must share."""
+    """The members that are posted, in order, and how many of them a partner must share."""
     if not len(members):
         return members, 0
     size = len(members)
     t = need(size, percent)
-    level = levels[(members >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    level = level_of(members, levels)
     order = np.lexsort((members, level))
-    others = np.maximum(2.0 ** (level[order] / 2.0) - noise, 0.0)
+    others = np.maximum(2.0 ** (level[order] / 2.0) - noise, CHANCE)
     hits = np.cumsum(others)
-    choices = [m for m in MATCHES if m <= t]
-    longest = [min(size - t + m, size) for m in choices]
-    cost = [p + hits[p - 1] * (1 + 0.1 * size / m) for m, p in zip(choices, longest, strict=True)]
-    best = int(np.argmin(cost))
-    return members[order[: longest[best]]], choices[best]
+    choices = np.array(matches_up_to(t))
+    longest = size - t + choices
+    best = int(np.argmin(longest + hits[longest - 1] * (1 + 0.1 * size / choices)))
+    return members[order[: longest[best]]], int(choices[best])
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """Return id_col, n_shingles and component_id for every row; two texts link when 100 * shared >= percent * union."""
     texts = keyed(docs, id_col, text_col)
-    levels = sketch_levels(texts, lambda data, offsets: np.concatenate(shingle_sets(data, offsets, n)))
+    levels = sketch_levels(texts, lambda data, offsets: np.concatenate(shingle_sets(data, offsets, n)), GRAM_BYTES)
     noise = noise_level(levels)
     cell = texts.sparkSession.sparkContext.broadcast(levels)
-    schema = T.StructType([id_field(docs, id_col), T.StructField("e", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("need", T.IntegerType()),
-                           T.StructField("spread", T.BinaryType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
+    schema = T.StructType([id_field(docs, id_col), T.StructField("e", T.BinaryType()), T.StructField("n", T.IntegerType()),
+                           T.StructField("need", T.IntegerType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
 
     def described(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(*reversed(offsets_and_bytes(batch.column("text"))), n)
         rows = [prefix(s, cell.value, noise, percent) for s in sets]
-        limits = np.concatenate([[0], np.cumsum([len(p) for p, _ in rows])]).astype(np.int32)
-        tokens = pa.ListArray.from_arrays(pa.array(limits), pa.array(np.concatenate([p for p, _ in rows]).astype(np.uint64).view(np.int64)))
-        columns = [pa.array([set_name(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([m for _, m in rows], pa.int32()), pa.array([spread(s) for s in sets], pa.binary()), tokens]
+        columns = [pa.array([set_name(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([m for _, m in rows], pa.int32()), _lists([p for p, _ in rows])]
         return pa.RecordBatch.from_arrays([batch.column("id"), *columns], schema.names)
 
     rows = saved(map_texts(texts, described, schema), "ngram-rows")
-    key = F.xxhash64("e")
-    sets = saved(rows.where("n > 0").groupBy("e").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("need").alias("need"), F.first("spread").alias("spread")).withColumn("k", key), "ngram-sets")
-    posted = rows.where("n > 0").select(key.alias("k"), F.explode("tokens").alias("token"))
-    lists = posted.groupBy("token").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low < high")
-    posted = saved(posted.join(lists, "token").select("token", "k", "low", "high"), "ngram-lists")
-    roots = None
-    edges = []
-    # Each class first meets the leader with which it shares most, then that at the other end of its lists, then all that are left.
-    for leader in ("low", "high"):
-        pairs = posted.where(F.col(leader) != F.col("k")).groupBy(F.col("k").alias("ka"), F.col(leader).alias("kb")).agg(F.count("*").alias("shared"))
-        pairs = pairs.groupBy("ka").agg(F.max_by("kb", F.struct("shared", "kb")).alias("kb"))
-        edges.append(_verified(_candidates(pairs, sets, roots, percent), texts, docs, n, percent))
-        roots = components(_union(edges), "ngram-components")
-    known = sets.join(roots, F.col("e") == F.col("node"), "left").select("k", F.coalesce("root", "e").alias("root"))
-    named = posted.select("token", "k").distinct().join(known, "k")
-    mixed = named.groupBy("token").agg(F.min(F.xxhash64("root")).alias("low"), F.max(F.xxhash64("root")).alias("high")).where("low < high").select("token")
-    named = saved(named.join(mixed, "token", "left_semi"), "ngram-mixed")
-    right = named.select("token", F.col("k").alias("kb"), F.col("root").alias("rb"))
-    left = named.select("token", F.col("k").alias("ka"), F.col("root").alias("ra"))
-    pairs = left.join(right, "token").where("ka < kb and ra <> rb").groupBy("ka", "kb").agg(F.count("*").alias("shared"))
-    edges.append(_verified(_candidates(pairs, sets, roots, percent), texts, docs, n, percent))
-    release(posted, named, sets)
-    roots = components(_union(edges), "ngram-components")
-    release(*edges)
-    member = rows.select("id", "e", "n").join(roots, F.col("e") == F.col("node"), "left").select("id", "n", F.coalesce("root", "e").alias("root"))
-    least = member.where("n > 0").groupBy("root").agg(F.min("id").alias("least"))
-    found = member.join(least, "root", "left")
+    classes = rows.where("n > 0").groupBy("e").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("need").alias("need"), F.first("tokens").alias("tokens"))
+    # Written once, so the number of a class stays what it is.
+    sets = saved(classes.withColumn("k", F.monotonically_increasing_id()), "ngram-sets")
+    posted = sets.select("k", "n", "need", F.posexplode("tokens").alias("pos", "token"))
+    lists = posted.groupBy("token").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low < high").select("token")
+    posted = saved(posted.join(lists, "token"), "ngram-lists")
+
+    # The leader of a list is its least class of about the same size, by either of two scales of sizes, so that no group is parted by both.
+    led, step = [], math.log(max(100 / percent, 1.01))
+    for shift in (0.0, 0.5):
+        sized = posted.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(step) + F.lit(shift)))
+        lead = sized.groupBy("token", "band").agg(F.min(F.struct("k", "n", "need", "pos")).alias("lead"))
+        both = sized.join(lead, ["token", "band"]).select(*(F.col(c).alias(c + "a") for c in ("k", "n", "need", "pos")), *(F.col("lead")[c].alias(c + "b") for c in ("k", "n", "need", "pos")))
+        led.append(_candidates(both.where("ka > kb"), percent).groupBy("ka").agg(F.max_by("kb", F.struct("shared", "kb")).alias("kb")))
+    pairs = saved(led[0].union(led[1]).distinct(), "ngram-pairs")
+    members = _members(pairs, sets, texts, docs, n)
+    a, b = members.toDF("ka", "na", "ma"), members.toDF("kb", "nb", "mb")
+    compared = pairs.join(a, "ka").join(b, "kb").select("ka", "kb", "na", "nb", F.size(F.array_intersect("ma", "mb")).alias("shared"))
+    compared = saved(compared.where(_alike(max(percent // 2, 1))), "ngram-compared")
+    bundles = components(compared.select(F.col("ka").alias("a"), F.col("kb").alias("b")), "ngram-bundles")
+    linked = compared.where(_alike(percent)).select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+    links = _within_bundles(bundles, members, linked, percent)
+    release(pairs, members, compared)
+
+    known = bundles.select(F.col("node").alias("k"), "root")
+    posted_b = posted.join(known, "k", "left").select("k", "n", "need", "pos", "token", F.coalesce("root", "k").alias("bundle"))
+    mixed = posted_b.groupBy("token").agg(F.min("bundle").alias("lowest"), F.max("bundle").alias("highest")).where("lowest < highest").select("token")
+    across = saved(posted_b.join(mixed, "token", "left_semi"), "ngram-across")
+    release(posted)
+    a, b = (across.select("token", *(F.col(c).alias(c + s) for c in ("k", "n", "need", "pos", "bundle"))) for s in "ab")
+    wanted = a.join(b, (a["token"] == b["token"]) & (F.col("ka") < F.col("kb")) & (F.col("bundlea") != F.col("bundleb")) & _may_link(percent))
+    pairs = saved(_candidates(wanted, percent).select("ka", "kb"), "ngram-pairs")
+    members = _members(pairs, sets, texts, docs, n)
+    a, b = members.toDF("ka", "na", "ma"), members.toDF("kb", "nb", "mb")
+    compared = pairs.join(a, "ka").join(b, "kb").withColumn("shared", F.size(F.array_intersect("ma", "mb"))).where(_alike(percent))
+    more = saved(compared.select(F.col("ka").alias("a"), F.col("kb").alias("b")), "ngram-links")
+    release(across, pairs, members, bundles)
+
+    roots = components(links.union(more), "ngram-components")
+    release(links, more)
+    named = sets.select("k", "e", "id").join(roots, F.col("k") == F.col("node"), "left").select("e", "id", F.coalesce("root", "k").alias("root"))
+    least = named.groupBy("root").agg(F.min("id").alias("least"))
+    named = named.join(least, "root").select("e", "least")
+    found = rows.select("id", "e", "n").join(named, "e", "left")
     return found.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 
-def _union(edges: list[DataFrame]) -> DataFrame:
-    out = edges[0]
-    for more in edges[1:]:
-        out = out.union(more)
-    return out
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    limits = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    values = np.concatenate([np.zeros(0, np.uint64), *arrays]).astype(np.uint64)
+    return pa.ListArray.from_arrays(pa.array(limits), pa.array(values.view(np.int64)))
 
 
-def _candidates(pairs: DataFrame, sets: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame:
-    """Pairs ka, kb with the classes they stand for: sizes that allow a link, enough shared members where counted, not yet in one component."""
-    a = sets.select(F.col("k").alias("ka"), F.col("e").alias("ea"), F.col("id").alias("ida"), F.col("n").alias("na"), F.col("need").alias("needa"))
-    b = sets.select(F.col("k").alias("kb"), F.col("e").alias("eb"), F.col("id").alias("idb"), F.col("n").alias("nb"), F.col("need").alias("needb"))
-    out = pairs.join(a, "ka").join(b, "kb").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    if "shared" in pairs.columns:
-        out = out.where(F.col("shared") >= F.least("needa", "needb"))
-    if roots is not None:
-        ra, rb = roots.toDF("nodea", "roota"), roots.toDF("nodeb", "rootb")
-        out = out.join(ra, F.col("ea") == F.col("nodea"), "left").join(rb, F.col("eb") == F.col("nodeb"), "left")
-        out = out.where(F.coalesce("roota", "ea") != F.coalesce("rootb", "eb"))
-    narrow = saved(out.select("ea", "eb", "ida", "idb", "na", "nb"), "ngram-pairs")
-    pairs = if_small(narrow)
-    # Most pairs go by the bound of their spreads, without a look at their texts.
-    one = sets.select(F.col("e").alias("ea"), F.col("spread").alias("sa")).join(pairs, "ea")
-    other = sets.select(F.col("e").alias("eb"), F.col("spread").alias("sb")).join(pairs.select("ea", "eb"), "eb")
-    both, names = one.join(other, ["ea", "eb"]), pairs.columns
-
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shared = np.array([most_shared(x, y) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)], np.int64)
-            total = np.asarray(batch.column("na")).astype(np.int64) + np.asarray(batch.column("nb"))
-            fits = pa.array(shared * 100 >= (total - shared) * percent)
-            yield batch.select(names).filter(fits)
-
-    out = saved(both.mapInArrow(bounded, pairs.schema), "ngram-candidates")
-    release(narrow)
-    return out
+def _may_link(percent: int) -> Column:
+    """Whether two sets that share a member at posa and posb of their orders have the sizes to link, and members enough before and after it."""
+    most = F.least("posa", "posb") + F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb"))
+    return (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets link, as edges a, b between classes."""
-    wanted = pairs.select(F.col("ea").alias("e"), F.col("ida").alias("want")).union(pairs.select("eb", "idb")).distinct()
-    schema = T.StructType([T.StructField("e", T.BinaryType()), T.StructField("members", T.ArrayType(T.LongType()))])
+def _candidates(pairs: DataFrame, percent: int) -> DataFrame:
+    """ka, kb and shared of the pairs, each given once for each prefix member, that share as many of these as one of the two asks for."""
+    counted = pairs.where(_may_link(percent)).groupBy("ka", "kb").agg(F.count("*").alias("shared"), F.first(F.least("needa", "needb")).alias("asked"))
+    return counted.where("shared >= asked").select("ka", "kb", "shared")
 
-    def members(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(*reversed(offsets_and_bytes(batch.column("text"))), n)
+
+def _alike(percent: int) -> Column:
+    return F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * percent
+
+
+def _members(pairs: DataFrame, sets: DataFrame, texts: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """k, n and members of all classes of the pairs, read from their texts again."""
+    wanted = pairs.select(F.col("ka").alias("k")).union(pairs.select("kb")).distinct()
+    wanted = sets.select("k", "e", F.col("id").alias("want")).join(wanted, "k", "left_semi")
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("members", T.ArrayType(T.LongType()))])
+
+    def read(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = shingle_sets(*reversed(offsets_and_bytes(batch.column("text"))), n)
         asked = batch.column("e").to_pylist()
-        right = [k for k, s in enumerate(sets) if set_name(s) == asked[k]]  # an id may stand for several texts
-        limits = np.concatenate([[0], np.cumsum([len(sets[k]) for k in right])]).astype(np.int32)
-        values = np.concatenate([sets[k] for k in right]) if right else np.zeros(0, np.uint64)
-        return pa.RecordBatch.from_arrays([pa.array([asked[k] for k in right], pa.binary()), pa.ListArray.from_arrays(pa.array(limits), pa.array(values.view(np.int64)))], ["e", "members"])
-
-    sets = map_texts(texts.join(if_small(wanted), F.col("id").eqNullSafe(F.col("want"))).select("e", "text"), members, schema)
-    sets = saved(sets.dropDuplicates(["e"]), "ngram-members")
-    a, b = sets.toDF("ea", "ma"), sets.toDF("eb", "mb")
-    shared = F.size(F.array_intersect("ma", "mb"))
-    found = pairs.join(a, "ea").join(b, "eb").withColumn("shared", shared)
-    links = found.where(F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * percent)
-    out = saved(links.select(F.col("ea").alias("a"), F.col("eb").alias("b")), "ngram-links")
-    release(sets, pairs)
+        right = [k for k, s in enumerate(found) if set_name(s) == asked[k]]  # an id may stand for several texts
+        some = [found[k] for k in right]
+        return pa.RecordBatch.from_arrays([batch.column("k").take(pa.array(right, pa.int64())), pa.array([len(s) for s in some], pa.int32()), _lists(some)], schema.names)
+
+    asked = texts.join(if_small(saved(wanted, "ngram-wanted")), F.col("id").eqNullSafe(F.col("want"))).select("k", "e", "text")
+    found = saved(map_texts(asked, read, schema), "ngram-members")
+    # Rows of the same id and set are rare, so that they are looked for before the sets are dealt out for them.
+    if found.groupBy("k").count().where("count > 1").limit(1).count():
+        found = saved(found.dropDuplicates(["k"]), "ngram-members")
+    return found
+
+
+def _within_bundles(bundles: DataFrame, members: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
+    """Links a, b, those of linked among them, that join all classes of a bundle that links of any of its pairs join."""
+    whole, part = 100 + percent, 100 - percent
+    pivots = members.select(F.col("k").alias("root"), F.col("members").alias("pivot"))
+    both = bundles.select(F.col("node").alias("k"), "root").join(members, "k").join(pivots, "root")
+    differ = both.select("root", "k", "n", F.concat(F.array_except("members", "pivot"), F.array_except("pivot", "members")).alias("differ"))
+    differ = differ.withColumn("nd", F.size("differ")).withColumn("need", F.col("nd").cast("long") * whole - F.col("n").cast("long") * part)
+    differ = saved(differ, "ngram-differ")
+    least = differ.groupBy("root").agg(F.min(F.struct("need", "k")).alias("least"))
+    heads = differ.select("root", "k", "n", "nd", "need").join(least, "root").select("*", F.col("least")["need"].alias("least_need"), F.col("least")["k"].alias("center")).drop("least")
+    # Those that link with the class of least need are one part from the start.
+    heads = saved(heads.withColumn("part", F.when(F.col("need") + F.col("least_need") <= 0, F.col("center")).otherwise(F.col("k"))), "ngram-heads")
+    free = heads.where("k <> part").select(F.col("k").alias("a"), F.col("part").alias("b"))
+
+    # Differences that stand alone in their bundle come first in the order, and only their number matters.
+    each = differ.select("root", "k", F.explode("differ").alias("token"))
+    counts = if_small(saved(each.groupBy("root", "token").agg(F.count("*").alias("times")).where("times > 1"), "ngram-counts"))
+    common = each.join(counts, ["root", "token"]).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("common"))  # no more than a text has members
+    rare = F.col("nd") - F.size("common")
+    least_shared = F.greatest(F.lit(1), F.ceil((F.col("need") + F.col("least_need")) / F.lit(2.0 * whole)))
+    posted = heads.join(common, "k").select("root", "k", "nd", "need", "part", rare.alias("rare"), (F.col("nd") - least_shared).alias("last"), F.posexplode("common").alias("at", "member"))
+    posted = posted.withColumn("pos", F.col("rare") + F.col("at")).where("pos <= last").select("root", F.col("member")["token"].alias("token"), "k", "nd", "need", "part", "pos")
+    posted = saved(posted, "ngram-posted")
+
+    # Those of other parts meet the class of least need of each of their lists first, the one they share most with.
+    posted_now = _of_several(posted)
+    lead = posted_now.groupBy("root", "token").agg(F.min(F.struct("need", "k", "part")).alias("lead"))
+    pairs = posted_now.join(lead, ["root", "token"]).where(F.col("part") != F.col("lead")["part"])
+    pairs = pairs.groupBy(F.col("k").alias("ka"), F.col("lead")["k"].alias("kb")).agg(F.count("*").alias("shared")).groupBy("ka").agg(F.max_by("kb", F.struct("shared", "kb")).alias("kb"))
+    led = saved(free.union(linked).union(_verified(pairs, differ, whole)), "ngram-edges")
+
+    # All pairs of different components that share a difference in the prefix of both, and can share as many as they need.
+    roots = components(led, "ngram-led")
+    found = roots.select(F.col("node").alias("k"), F.col("root").alias("found"))
+    posted_now = saved(_of_several(posted.join(found, "k", "left").withColumn("part", F.coalesce("found", "k")).drop("found")), "ngram-several")
+    a, b = (posted_now.select("root", "token", *(F.col(c).alias(c + s) for c in ("k", "nd", "need", "pos", "part"))) for s in "ab")
+    asked = F.col("needa") + F.col("needb")
+    most = (F.least("posa", "posb") + F.least(F.col("nda") - F.col("posa"), F.col("ndb") - F.col("posb"))) * 2 * whole
+    prefixes = (2 * whole * (F.col("nda") - F.col("posa")) >= asked) & (2 * whole * (F.col("ndb") - F.col("posb")) >= asked)
+    pairs = a.join(b, (a["root"] == b["root"]) & (a["token"] == b["token"]) & (F.col("ka") < F.col("kb")) & (F.col("parta") != F.col("partb")) & (asked > 0) & prefixes & (most >= asked))
+    out = saved(led.union(_verified(pairs.select("ka", "kb").distinct(), differ, whole)), "ngram-links")
+    release(differ, heads, posted, led, roots, posted_now)
     return out
+
+
+def _of_several(posted: DataFrame) -> DataFrame:
+    """The postings of lists whose classes are in several parts."""
+    several = posted.groupBy("root", "token").agg(F.min("part").alias("lowest"), F.max("part").alias("highest")).where("lowest < highest").select("root", "token")
+    return posted.join(several, ["root", "token"], "left_semi")
+
+
+def _verified(pairs: DataFrame, differ: DataFrame, whole: int) -> DataFrame:
+    """The pairs ka, kb whose differences share as many as they need, as links a, b."""
+    pairs = saved(pairs, "ngram-candidates")
+    a, b = (differ.select(F.col("k").alias("k" + s), F.col("need").alias("need" + s), F.col("differ").alias("d" + s)) for s in "ab")
+    shared = F.size(F.array_intersect("da", "db"))
+    found = pairs.join(a, "ka").join(b, "kb").where(F.col("needa") + F.col("needb") <= 2 * whole * shared)
+    return found.select(F.col("ka").alias("a"), F.col("kb").alias("b"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from alidade.llm.common import id_field, keyed, map_texts, offsets_and_bytes
-from alidade.llm.words import SPACE, mix, span_hashes, byte_codes, word_hashes, word_spans
+from alidade.llm.words import SPACE, content_hashes, gram_hashes, mix, word_hashes, word_spans
 
 CONTENT, BOILERPLATE = 0, 1
 #: Characters of n_symbols.
@@ -96,7 +96,7 @@ def describe(data: np.ndarray, offsets: np.ndarray) -> Lines:
     # Distinct words of a line: those that did not occur before in it.
     line_of = np.repeat(np.arange(len(starts)), words)
     new_word = _sums(~_repeated(mix(hashes ^ mix(line_of.astype(np.uint64) + np.uint64(1))))[1]) if len(hashes) else np.zeros(1, np.int64)
-    line_hash = span_hashes(byte_codes()[data], starts, ends)
+    line_hash = content_hashes(data.tobytes(), starts.tolist(), ends.tolist())
     dup = (words > 0) & _repeated(mix(line_hash ^ mix(text_of.astype(np.uint64) + np.uint64(7))))[1]
     counted = {k: _sums(f[data]) for k, f in (("letter", _LETTER), ("symbol", _SYMBOL), ("digit", _DIGIT), ("upper", _UPPER), ("solid", ~SPACE))}
     solid = np.maximum(counted["solid"][ends] - counted["solid"][starts], 1)
@@ -121,7 +121,7 @@ def describe(data: np.ndarray, offsets: np.ndarray) -> Lines:
     w_text = np.repeat(np.arange(n), np.diff(w_first))
     repeat = np.zeros(len(hashes), bool)
     if len(hashes) > 2:
-        three = hashes[:-2] * np.uint64(0x9E3779B97F4A7C15) + mix(hashes[1:-1]) + (hashes[2:] << np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        three = gram_hashes(hashes, 3)
         inside = w_text[:-2] == w_text[2:]
         at = np.flatnonzero(inside)
         twice = at[_repeated(mix(three[at] ^ mix(w_text[at].astype(np.uint64) + np.uint64(3))))[0]]
