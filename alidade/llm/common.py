@@ -115,7 +115,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Rows, and bytes of their values, that are broadcast at most.
-BROADCAST_ROWS, BROADCAST_BYTES = 250_000, 16 << 20
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 16 << 20
 
 
 def if_small(df: DataFrame) -> DataFrame:

@@ -3,11 +3,14 @@
 A window is a run of `window` symbols (bytes or words) of one text. Its anchor is the rarest of its n-grams of
 `gram` symbols, as a sketch of all counts tells, and among equals the one of the least hash, the first of them.
 The anchor depends on the window's content alone, so equal windows have equal anchors. A span is what
-neighbouring windows with the same anchor cover. Spans of anchors that occur once are left out. Of the others, equal spans are one class.
-A window stands in one span only. Thus whoever has all classes of an anchor can tell how often each of its
-windows occurs; such shards are dealt by anchor, of anchors that have several classes. A passage that very many texts share has common anchors in
+neighbouring windows with the same anchor cover. Spans of anchors that occur once are left out. Of the others, equal spans are one class,
+which is sent to the shard of its anchor once, with the number of its spans and the least of their ids.
+A window stands in one span only. Thus whoever has all classes of an anchor can tell how often each of its windows occurs, and which id has it first:
+a shard's suffix array or index decides that for every class. A passage that very many texts share has common anchors in
 its inner windows only, whose spans are the same in each text, so that its classes stay few; windows on its edge
-hold rarer n-grams.
+hold rarer n-grams. An anchor whose classes are too many for a shard all the same is parted by the next rarest n-gram of each of its windows.
+
+Rows are known by 128 bits of hashes of id and text; anchors only bring spans together, and a class is an anchor, a length and 64 bits of its content's hash.
 """
 
 from __future__ import annotations
@@ -17,17 +20,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alidade.llm.common import id_field, if_small, keyed, offsets_and_bytes, saved, small_batches
+from alidade.llm.common import id_field, if_small, keyed, offsets_and_bytes, release, saved, small_batches
 from alidade.llm.sketch import level_of, sketch_levels
-from alidade.llm.words import byte_codes, span_hashes, window_hashes, word_hashes, word_spans
+from alidade.llm.words import byte_codes, content_hashes, rolling_hashes, word_hashes, word_spans
 
 #: Windows that are handled at once, which bounds the memory for long texts.
 SEGMENT = 1 << 20
 PLACE_BITS = 22
+#: Bytes of text for each n-gram that the sketch has a counter for.
+GRAM_BYTES = {True: 64, False: 384}
 
 
 @dataclass(frozen=True)
@@ -51,7 +56,7 @@ class Unit:
         inside = _within(first, len(codes), self.gram)
         out = []
         for at in range(0, len(codes), SEGMENT):
-            hashes = window_hashes(codes[at : at + SEGMENT + self.gram - 1], self.gram)
+            hashes = rolling_hashes(codes[at : at + SEGMENT + self.gram - 1], self.gram)
             out.append(hashes[inside[at : at + len(hashes)]])
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -66,8 +71,11 @@ def _within(first: np.ndarray, n: int, size: int) -> np.ndarray:
     return np.cumsum(change[:n]) > 0
 
 
-def find_spans(codes: np.ndarray, first: np.ndarray, unit: Unit, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, first window and number of windows of each span."""
+def find_spans(codes: np.ndarray, first: np.ndarray, unit: Unit, levels: np.ndarray, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, first window and number of windows of each span.
+
+    without: for each text an anchor that gives way to the next rarest n-gram, if the window has another.
+    """
     window, gram = unit.window, unit.gram
     inside = _within(first, len(codes), window)
     anchors, begins, counts = [], [], []
@@ -75,10 +83,14 @@ def find_spans(codes: np.ndarray, first: np.ndarray, unit: Unit, levels: np.ndar
         part = codes[at : at + SEGMENT + window - 1]
         if len(part) < window:
             break
-        hashes = window_hashes(part, gram)
+        hashes = rolling_hashes(part, gram)
+        if without is not None:
+            text = np.searchsorted(first, np.arange(at, at + len(hashes)), "right") - 1
         key = level_of(hashes, levels).astype(np.uint64) << np.uint64(58)
         key |= (hashes >> np.uint64(28)) << np.uint64(PLACE_BITS)
         key |= np.arange(len(hashes), dtype=np.uint64)
+        if without is not None:
+            key[hashes == without[text]] |= np.uint64(63) << np.uint64(58)
         wide, reach = window - gram + 1, 1
         while reach * 2 <= wide:
             key = np.minimum(key[:-reach], key[reach:])
@@ -100,101 +112,122 @@ def find_spans(codes: np.ndarray, first: np.ndarray, unit: Unit, levels: np.ndar
     return np.concatenate(anchors), np.concatenate(begins), np.concatenate(counts)
 
 
-#: Given contents, occurrences and smallest ids of classes: for each the limits of its covered parts, in symbols.
-Solver = Callable[[list[bytes], list[int], list], list[list[int]]]
+#: Given contents, numbers of spans and least ids of classes: the limits, in symbols, of the covered parts of each class
+#: in texts with its least id, and in texts with later ids.
+Solver = Callable[[list[bytes], list[int], list], tuple[list[list[int]], list[list[int]]]]
 
 
-def remove_repeats(docs: DataFrame, id_col: str, text_col: str, unit: Unit, solve: Solver, earlier: bool, shard_bytes: int = 1 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str, text_col: str, unit: Unit, solve: Solver, earlier: bool, shard_bytes: int = 1 << 20, anchor_bytes: int = 16 << 20) -> DataFrame:
     """Return id, n, removed, runs and kept (the bytes that stay) for every row.
 
     A window is repeated if it occurs elsewhere or, with earlier, if it occurs in a text with a smaller id.
     With earlier, rows without an id neither lose nor take anything.
+    A shard holds the classes of whole anchors, about shard_bytes of them; an anchor of more than anchor_bytes is parted.
     """
-    base = keyed(docs, id_col, text_col).withColumn("r", F.xxhash64("id", "text"))
-    levels = sketch_levels(base, unit.grams)
+    base = keyed(docs, id_col, text_col).withColumns({"r": F.xxhash64("id", "text"), "r2": F.xxhash64(F.lit(1), "text", "id")})
+    levels = sketch_levels(base, unit.grams, GRAM_BYTES[unit.words])
     cell = base.sparkSession.sparkContext.broadcast(levels)
     id_kind = id_field(docs, id_col)
     window = unit.window
+    names = ["anchor", "span", "r", "r2", "id", "start", "count"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 1 << 20):
-            codes, first, _, _ = unit.symbols(*reversed(offsets_and_bytes(batch.column("text"))))
+            offsets, data = offsets_and_bytes(batch.column("text"))
+            codes, first, starts, ends = unit.symbols(data, offsets)
             anchors, begin, count = find_spans(codes, first, unit, cell.value)
             text = np.searchsorted(first, begin, "right") - 1
-            spans = span_hashes(codes, begin, begin + count + window - 1)
+            spans = _span_hashes(data, starts, ends, begin, begin + count + window - 1)
             taken = pa.array(text)
-            columns = [pa.array(anchors.view(np.int64)), pa.array(spans.view(np.int64)), batch.column("r").take(taken), batch.column("id").take(taken)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array((begin - first[text]).astype(np.int64)), pa.array(count.astype(np.int32))], ["anchor", "span", "r", "id", "start", "count"])
+            columns = [pa.array(anchors.view(np.int64)), pa.array(spans.view(np.int64)), *(batch.column(c).take(taken) for c in ("r", "r2", "id"))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array((begin - first[text]).astype(np.int64)), pa.array(count.astype(np.int32))], names)
 
-    found = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("span", T.LongType()), T.StructField("r", T.LongType()), id_kind,
-                          T.StructField("start", T.LongType()), T.StructField("count", T.IntegerType())])
-    spans = (base.where("id is not null") if earlier else base).mapInArrow(emit, found)
+    longs = {c: T.StructField(c, T.LongType()) for c in ("anchor", "span", "r", "r2", "start", "times")}
+    emitted = T.StructType([longs["anchor"], longs["span"], longs["r"], longs["r2"], id_kind, longs["start"], T.StructField("count", T.IntegerType())])
+    spans = (base.where("id is not null") if earlier else base).mapInArrow(emit, emitted)
     if earlier:
         twice = spans.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor")
     else:
         twice = spans.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
     # Written first, so that either this side is broadcast or the join may split the rows of a hot anchor.
-    twice = if_small(saved(twice, "repeat-anchors"))
-    spans = saved(spans.join(twice, "anchor", "left_semi"), "repeat-spans")
-    classes = spans.groupBy("anchor", "span").agg(F.count("*").alias("times"), F.min("id").alias("least"), F.first("r").alias("r"), F.first("start").alias("start"), F.first("count").alias("count"))
-    # A class that has its anchor alone has nothing to be compared with: all its windows occur as often as itself.
-    classes = saved(classes.withColumn("classes", F.count("*").over(Window.partitionBy("anchor"))), "repeat-classes")
-    several = classes.where("classes > 1")
-    wanted = several.groupBy("r").agg(F.collect_list(F.struct("anchor", "span", "start", "count", "times", "least")).alias("asked"))  # no more than a text has spans
-    content = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("span", T.LongType()), T.StructField("times", T.LongType()), id_field(docs, id_col, "least"),
-                            T.StructField("content", T.BinaryType())])
+    anchors = saved(twice, "repeat-anchors")
+    spans = saved(spans.join(if_small(anchors), "anchor", "left_semi"), "repeat-spans")
+    release(anchors)
+    one = F.min(F.struct("r", "r2", "start")).alias("one")
+    classes = spans.groupBy("anchor", "span", "count").agg(F.count("*").alias("times"), F.min("id").alias("least"), one).select("*", "one.r", "one.r2", "one.start").drop("one")
+    classes = saved(classes, "repeat-classes")
+    wanted = classes.groupBy("r", "r2").agg(F.collect_list(F.struct("anchor", "span", "start", "count", "times", "least")).alias("asked"))  # no more than a text has spans
+    part = T.StructType([longs["anchor"], T.StructField("of", T.LongType()), longs["span"], T.StructField("count", T.IntegerType()), T.StructField("at", T.IntegerType()),
+                         longs["times"], id_field(docs, id_col, "least"), T.StructField("content", T.BinaryType())])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 1 << 20):
             offsets, data = offsets_and_bytes(batch.column("text"))
-            codes, first, starts, ends = unit.symbols(data, offsets)
+            _, first, starts, ends = unit.symbols(data, offsets)
             asked = batch.column("asked")
             text = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(asked.offsets)))
             each = asked.flatten()
             begin = np.asarray(each.field("start")) + first[text]
             end = begin + np.asarray(each.field("count")) + window - 1
-            fits = end <= first[text + 1]  # another text may have the same r
-            fits[fits] = span_hashes(codes, begin[fits], end[fits]) == np.asarray(each.field("span"))[fits].view(np.uint64)
-            begin, end = begin[fits], end[fits]
             if unit.words:
                 begin, end = starts[begin], ends[end - 1]
             raw = data.tobytes()
-            each = each.filter(pa.array(fits))
-            parts = [raw[a:z] for a, z in zip(begin.tolist(), end.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(each.field(c) for c in ("anchor", "span", "times", "least")), pa.array(parts, pa.binary())], ["anchor", "span", "times", "least", "content"])
+            contents = [raw[a:z] for a, z in zip(begin.tolist(), end.tolist(), strict=True)]
+            anchor, span, count, times, least = (each.field(c) for c in ("anchor", "span", "count", "times", "least"))
+            yield pa.RecordBatch.from_arrays([anchor, anchor, span, count, pa.array(np.zeros(len(contents), np.int32)), times, least, pa.array(contents, pa.binary())], part.names)
+
+    def reanchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, data = offsets_and_bytes(batch.column("content"))
+            codes, first, starts, ends = unit.symbols(data, offsets)
+            anchors, begin, count = find_spans(codes, first, unit, cell.value, np.asarray(batch.column("anchor")).view(np.uint64))
+            text = np.searchsorted(first, begin, "right") - 1
+            at, end = begin - first[text], begin + count + window - 1
+            if unit.words:
+                begin, end = starts[begin], ends[end - 1]
+            raw, taken = data.tobytes(), pa.array(text)
+            contents = [raw[a:z] for a, z in zip(begin.tolist(), end.tolist(), strict=True)]
+            both = (anchors ^ (np.asarray(batch.column("anchor"))[text].view(np.uint64) >> np.uint64(1))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(both), *(batch.column(c).take(taken) for c in ("of", "span", "count")), pa.array(at.astype(np.int32)),
+                                              *(batch.column(c).take(taken) for c in ("times", "least")), pa.array(contents, pa.binary())], part.names)
 
-    cover = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("span", T.LongType()), T.StructField("cover", T.ArrayType(T.IntegerType()))])
+    limits = T.ArrayType(T.IntegerType())
+    cover = T.StructType([T.StructField("of", T.LongType()), longs["span"], T.StructField("count", T.IntegerType()), T.StructField("first", limits), T.StructField("later", limits)])
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], tuple[bytes, int, object]] = {}
+        held: list[tuple] = []
         size, last = 0, None
 
         def solved() -> pa.RecordBatch:
-            keys = list(held)
-            covers = solve([c for c, _, _ in held.values()], [t for _, t, _ in held.values()], [m for _, _, m in held.values()])
+            of, span, count, at, times, least, contents = zip(*held, strict=True)
+            covers = [[[x + a for x in c] for c, a in zip(some, at, strict=True)] for some in solve(list(contents), list(times), list(least))]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in keys], pa.int64()), pa.array([s for _, s in keys], pa.int64()), pa.array(covers, pa.list_(pa.int32()))], ["anchor", "span", "cover"])
+            return pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(span, pa.int64()), pa.array(count, pa.int32()), *(pa.array(c, pa.list_(pa.int32())) for c in covers)], cover.names)
 
         for batch in batches:
-            for anchor, span, times, least, text in zip(*(batch.column(c).to_pylist() for c in ("anchor", "span", "times", "least", "content")), strict=True):
+            for anchor, *row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "of", "span", "count", "at", "times", "least", "content")), strict=True):
                 if anchor != last and size >= shard_bytes:  # all classes of an anchor stay together
                     yield solved()
                     size = 0
                 last = anchor
-                held[anchor, span] = (text, times, least)
-                size += len(text)
+                held.append(tuple(row))
+                size += len(row[-1])
         if held:
             yield solved()
 
-    some = base.join(if_small(several.select("r").distinct()), "r", "left_semi")
-    contents = some.join(wanted, "r").select("text", "asked").mapInArrow(fetch, content)
-    covers = contents.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(shard, cover)
-    covers = classes.select("anchor", "span", "times", "least").join(saved(covers, "repeat-covers"), ["anchor", "span"], "left")
-    hit = spans.join(saved(covers, "repeat-classes"), ["anchor", "span"])
-    whole = F.col("id") > F.col("least") if earlier else F.col("times") > 1
-    all_of_it = F.array(F.lit(0), F.col("count") + F.lit(window - 1))
-    parts = hit.select("r", "start", F.when(whole, all_of_it).otherwise(F.col("cover")).alias("cover")).where(F.size("cover") > 0)
-    cuts = parts.groupBy("r").agg(F.collect_list(F.struct("start", "cover")).alias("cuts"))  # no more than a text has spans
+    asked = base.join(if_small(saved(wanted.select("r", "r2"), "repeat-asked")), ["r", "r2"], "left_semi").join(wanted, ["r", "r2"])
+    contents = saved(asked.select("text", "asked").mapInArrow(fetch, part), "repeat-contents")
+    hot = saved(contents.groupBy("anchor").agg(F.sum(F.length("content")).alias("bytes"), F.count("*").alias("n")).where(f"bytes > {anchor_bytes} and n > 1").select("anchor"), "repeat-hot")
+    parts = [contents.join(F.broadcast(hot), "anchor", "left_anti"), contents.join(F.broadcast(hot), "anchor", "left_semi").select(part.names).mapInArrow(reanchored, part)] if hot.limit(1).count() else [contents]
+    dealt = parts[0].select(part.names) if len(parts) == 1 else parts[0].select(part.names).union(parts[1])
+    covers = saved(dealt.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(shard, cover).withColumnRenamed("of", "anchor"), "repeat-covers")
+    release(contents, hot)
+    # Written first, so that the join may split the rows of a hot class.
+    found = saved(covers.join(classes.select("anchor", "span", "count", "least"), ["anchor", "span", "count"]), "repeat-found")
+    release(covers, classes)
+    hit = spans.join(found, ["anchor", "span", "count"])
+    parts = hit.select("r", "r2", "start", F.when(F.col("id") > F.col("least"), F.col("later")).otherwise(F.col("first")).alias("cover")).where(F.size("cover") > 0)
+    cuts = parts.groupBy("r", "r2").agg(F.collect_list(F.struct("start", "cover")).alias("cuts"))  # no more than a text has spans
     out = T.StructType([id_kind, T.StructField("n", T.LongType()), T.StructField("removed", T.LongType()), T.StructField("runs", T.LongType()), T.StructField("kept", T.BinaryType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,12 +240,24 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str, unit: Unit, solv
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, pa.int64()) for x in (n, removed, runs)), pa.array(kept, pa.binary())], out.names)
 
     cuttable = base.where("id is not null") if earlier else base
-    done = cuttable.join(cuts, "r", "left").select("id", "text", "cuts")
+    done = cuttable.join(cuts, ["r", "r2"], "left").select("id", "text", "cuts")
     if earlier:
         done = done.union(base.where("id is null").select("id", "text", F.lit(None).cast(cuts.schema["cuts"].dataType)))
     return done.mapInArrow(cut, out)
 
 
+def _span_hashes(data: np.ndarray, starts: np.ndarray | None, ends: np.ndarray | None, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each span's content; words are joined by one space."""
+    if starts is not None:
+        lengths = ends - starts + 1
+        limits = np.concatenate([[0], np.cumsum(lengths)])
+        place = np.arange(limits[-1]) + np.repeat(starts - limits[:-1], lengths)
+        data = np.append(data, np.uint8(32))[place]
+        data[limits[1:] - 1] = 32
+        begin, end = limits[begin], limits[end] - 1
+    return content_hashes(data.tobytes(), begin.tolist(), end.tolist())
+
+
 def _without(text: bytes, limits: list[tuple[int, int]], words: bool) -> tuple[int, int, int, bytes]:
     """Number of symbols, of removed ones and of runs of these, and what is left."""
     units = text.split() if words else text

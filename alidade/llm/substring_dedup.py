@@ -63,38 +63,63 @@ class WaveletTree:
 
 
 class LeastRange:
-    """The least value of any range, from the least values of ranges whose lengths are powers of two."""
+    """The least value of any range: of blocks of 16 values the least of ranges whose lengths are powers of two, and within a block by looking."""
 
-    def __init__(self, values: np.ndarray) -> None:
-        self.rows = [values]
+    def __init__(self, values: np.ndarray, block: int = 16) -> None:
+        self.block = block
+        self.none = np.iinfo(values.dtype).max
+        self.values = np.concatenate([values, np.full(-len(values) % block + block, self.none, values.dtype)])
+        self.rows = [self.values.reshape(-1, block).min(axis=1)]
         while len(self.rows[-1]) > 1 << (len(self.rows) - 1):
             row, reach = self.rows[-1], 1 << (len(self.rows) - 1)
             self.rows.append(np.minimum(row[:-reach], row[reach:]))
 
     def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Over low to high - 1, which is not empty."""
-        level = np.frexp((high - low).astype(float))[1] - 1
-        out = np.empty(len(low), self.rows[0].dtype)
+        first, last = -(-low // self.block), high // self.block  # whole blocks
+        out = np.full(len(low), self.none, self.values.dtype)
+        wide = np.flatnonzero(last > first)
+        level = np.frexp((last - first)[wide].astype(float))[1] - 1
         for k in np.unique(level).tolist():
-            some = level == k
-            row = self.rows[k]
-            out[some] = np.minimum(row[low[some]], row[high[some] - (1 << k)])
+            some = wide[level == k]
+            out[some] = np.minimum(self.rows[k][first[some]], self.rows[k][last[some] - (1 << k)])
+        left, right = np.minimum(first * self.block, high), np.maximum(last * self.block, low)
+        for a, z in ((low, left), (np.maximum(right, left), high)):
+            for k in range(int((z - a).max(initial=0))):
+                out = np.where(a + k < z, np.minimum(out, self.values[np.minimum(a + k, len(self.values) - 1)]), out)
         return out
 
 
 class FMIndex:
-    """Full-text index of words from 1 to size - 1; patterns of up to `longest` words can be searched."""
+    """Full-text index of words from 1 to size - 1; patterns of up to `longest` words can be searched. owner: the rank of each place's owner."""
 
-    def __init__(self, symbols: np.ndarray, size: int, longest: int) -> None:
+    def __init__(self, symbols: np.ndarray, size: int, longest: int, owner: np.ndarray) -> None:
         order = context_order(symbols, longest)
-        self.order = order
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=size))])[:-1]
+        self.counts = np.bincount(symbols, minlength=size)
+        self.first = np.concatenate([[0], np.cumsum(self.counts)])[:-1]
         self.tree = WaveletTree(symbols[order - 1], size)  # of suffix 0 the last symbol, a separator
+        self.least = LeastRange(owner[order])
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows of the patterns that begin with the symbols and go on as those of rows low to high - 1."""
         return self.first[symbol] + self.tree.rank(symbol, low), self.first[symbol] + self.tree.rank(symbol, high)
 
+    def matching_statistics(self, symbols: np.ndarray, ends_at: np.ndarray, below: np.ndarray, most: int) -> np.ndarray:
+        """For each place the length, up to `most`, of the longest match that ends there and that an owner of a rank below the given one has."""
+        low = self.first[symbols[ends_at]]
+        high = low + self.counts[symbols[ends_at]]
+        live = np.arange(len(ends_at))
+        length = np.zeros(len(ends_at), np.int64)
+        while len(live):
+            good = (high > low) & (self.least.least(low, np.maximum(high, low + 1)) < below[live])
+            live, low, high = live[good], low[good], high[good]
+            length[live] += 1
+            going = length[live] < most
+            live, low, high = live[going], low[going], high[going]
+            if len(live):
+                low, high = self.extend(symbols[ends_at[live] - length[live]], low, high)
+        return length
+
 
 def context_order(symbols: np.ndarray, longest: int) -> np.ndarray:
     """Suffixes in the order of their first `longest` symbols or more, by doubling."""
@@ -117,8 +142,11 @@ def context_order(symbols: np.ndarray, longest: int) -> np.ndarray:
     return order
 
 
-def earlier_windows(contents: list[bytes], owners: list, window: int) -> list[list[int]]:
-    """For each span, whose smallest id is owners[k], the limits of the words that windows cover which a smaller owner's span holds too."""
+def earlier_windows(contents: list[bytes], owners: list, window: int) -> tuple[list[list[int]], list[list[int]]]:
+    """For each span, whose smallest id is owners[k], the limits of the words that windows cover which stand in a text with a smaller id.
+
+    First for the texts with the smallest id, and then for those with later ids, of which the owners are known to be smaller.
+    """
     data = np.frombuffer(b"".join(contents), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(c) for c in contents])]).astype(np.int64)
     starts, ends, first = word_spans(data, offsets)
@@ -132,38 +160,28 @@ def earlier_windows(contents: list[bytes], owners: list, window: int) -> list[li
     begin = first[:-1] + np.arange(len(contents))
     rank_of = {m: k for k, m in enumerate(sorted(set(owners)))}
     owner = np.array([rank_of[m] for m in owners], np.int32)
-    index = FMIndex(symbols, len(known) + 1, window)
-    least = LeastRange(owner[span][index.order])
+    index = FMIndex(symbols, len(known) + 1, window, owner[span])
     inside = np.arange(len(symbols)) - begin[span]
     ends_at = np.flatnonzero((symbols > 0) & (inside >= window - 1))  # the last word of each window
-    low = index.first[symbols[ends_at]]
-    high = low + np.bincount(symbols, minlength=len(known) + 1)[symbols[ends_at]]
-    live = np.arange(len(ends_at))
-    length = np.zeros(len(ends_at), np.int64)  # matching statistics up to the threshold
-    while len(live):
-        good = (high > low) & (least.least(low, np.maximum(high, low + 1)) < owner[span[ends_at[live]]])
-        live, low, high = live[good], low[good], high[good]
-        length[live] += 1
-        going = length[live] < window
-        live, low, high = live[going], low[going], high[going]
-        if len(live):
-            low, high = index.extend(symbols[ends_at[live] - length[live]], low, high)
-    change = np.zeros(len(symbols) + 1, np.int64)
-    hit = ends_at[length >= window]
-    np.add.at(change, hit - window + 1, 1)
-    np.add.at(change, hit + 1, -1)
-    covered = np.cumsum(change[:-1]) > 0
     out = []
-    for k in range(len(contents)):
-        edge = np.diff(np.concatenate([[0], covered[begin[k] : begin[k] + counts[k]].astype(np.int8), [0]]))
-        out.append(np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], axis=1).ravel().tolist())
-    return out
+    for below in (owner, owner + 1):  # a match counts if its owner's rank is less
+        hit = ends_at[index.matching_statistics(symbols, ends_at, below[span[ends_at]], window) >= window]
+        change = np.zeros(len(symbols) + 1, np.int64)
+        np.add.at(change, hit - window + 1, 1)
+        np.add.at(change, hit + 1, -1)
+        covered = np.cumsum(change[:-1]) > 0
+        edge = np.diff(np.concatenate([[0], covered.astype(np.int8), [0]]))
+        up, down = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        of = span[up]  # a separator is never covered, so runs stay within their span
+        both = np.stack([up - begin[of], down - begin[of]], axis=1)
+        out.append([x.ravel().tolist() for x in np.split(both, np.searchsorted(of, np.arange(1, len(contents))))])
+    return out[0], out[1]
 
 
 def remove_earlier_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 8) -> DataFrame:
     """Return id_col, n_words, n_removed, n_spans and kept (the words that stay, joined by one space, as UTF-8 bytes) for every row."""
 
-    def solve(contents: list[bytes], _: list[int], owners: list) -> list[list[int]]:
+    def solve(contents: list[bytes], _: list[int], owners: list) -> tuple[list[list[int]], list[list[int]]]:
         return earlier_windows(contents, owners, window)
 
     return remove_repeats(docs, id_col, text_col, Unit(True, window, gram), solve, earlier=True).toDF(id_col, "n_words", "n_removed", "n_spans", "kept")

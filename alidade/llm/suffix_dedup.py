@@ -1,11 +1,11 @@
 """Suffix-array dedup: every byte of a long string that starts anywhere else too is removed.
 
-Texts meet in shards of spans (see repeats). A shard's spans are read as tokens, numbered by their bytes, and the
-suffix array of the token string is built by linear grouping: suffixes are grouped by Lyndon prefixes, groups
+Texts meet in shards of spans (see repeats). A shard's spans are cut into tokens wherever the hash of the next few bytes says so. A token's number
+is its rank among the bytes of all tokens, taken with those next bytes, so that suffixes of the token string are ordered as their bytes are. Their
+suffix array is built by linear grouping: suffixes are grouped by Lyndon prefixes, groups
 being processed in descending order by means of previous-smaller pointers; then each group's order is
-emitted by one walk over the array, without renaming tokens in rounds. As tokens are numbered in the order of their bytes,
-suffixes that share a byte string stand together. A window is the last bytes of a token, or all of it, and the
-beginning of the next suffix, which neighbours in the array share or not.
+emitted by one walk over the array, without renaming tokens in rounds. A window is the last bytes of a token, or all of it, and the
+beginning of the next suffix, which neighbours in the array share or not; what comes before suffixes is ordered from its end backwards. Bytes decide, not hashes.
 
 Defined results: a null or empty text has 0 bytes; matches never cross texts, so a text shorter than the
 window keeps all; strings are judged on the input; a row repeated whole is a match for itself; very long texts
@@ -14,16 +14,15 @@ are read in segments; an empty table gives an empty one; other columns are ignor
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import DataFrame
 
 from alidade.llm.repeats import Unit, remove_repeats
-from alidade.llm.words import byte_codes, mix, powers
+from alidade.llm.words import mix
+
+#: A token has so many bytes on average, and its beginning depends on so many bytes from there on.
+TOKEN_BYTES, AHEAD = 20, 8
 
-#: A token: other bytes than white space and the white space after them.
-TOKEN = re.compile(rb"[^\x20\x09-\x0D]*[\x20\x09-\x0D]*", re.DOTALL)
 
 def linear_suffix_array(symbols: list[int]) -> list[int]:
     """The suffix array of symbols by linear grouping; an end that is smaller than all symbols is understood.
@@ -96,67 +95,88 @@ def linear_suffix_array(symbols: list[int]) -> list[int]:
 def repeated_windows(contents: list[bytes], times: list[int], window: int) -> list[list[int]]:
     """For each span, which stands times[k] times, the limits of the bytes that repeated windows cover.
 
-    A window that lies within one token equals only such windows: those of long tokens are looked for byte by byte.
+    A window without the beginning of a token equals only such windows: long tokens are looked through byte by byte.
     """
-    covered = [np.zeros(len(c), bool) for c in contents]
-    for at, found in enumerate(_solve([_tokens(c) for c in contents], times, window)):
-        covered[at] = found
-    inner = [(k, m.start(), m.end()) for k, c in enumerate(contents) if len(c) >= window for m in TOKEN.finditer(c) if m.end() - m.start() >= window]
-    parts = [[contents[k][j : j + 1] for j in range(a, z)] for k, a, z in inner]
-    for (k, a, z), found in zip(inner, _solve(parts, [times[k] for k, _, _ in inner], window), strict=True):
-        covered[k][a:z] |= found
-    return [_runs(c) for c in covered]
-
-
-def _tokens(content: bytes) -> list[bytes]:
-    return [t for t in TOKEN.findall(content) if t]
-
-
-def _solve(cut: list[list[bytes]], times: list[int], window: int) -> list[np.ndarray]:
-    """Which bytes of each span repeated windows cover, if these hold the end of a token before their own end."""
-    if not cut:
-        return []
-    # A separator after each span is smaller than all tokens.
-    number = {t: k + 1 for k, t in enumerate(sorted({t for tokens in cut for t in tokens}))}
-    symbols: list[int] = []
-    for tokens in cut:
-        symbols += [number[t] for t in tokens]
-        symbols.append(0)
-    order = np.array(linear_suffix_array(symbols), np.int64)
-    raw = np.frombuffer(b"".join(t for tokens in cut for t in tokens), np.uint8)
-    limits = np.concatenate([[0], np.cumsum([sum(map(len, tokens)) for tokens in cut])]).astype(np.int64)
-    lengths = np.array([x for tokens in cut for x in (*map(len, tokens), 0)], np.int64)
-    start = np.cumsum(lengths) - lengths  # of each token in raw
-    span = np.repeat(np.arange(len(cut)), [len(t) + 1 for t in cut])
-    before = np.zeros(len(lengths), np.int64)  # length of the token before, in the same span
-    before[1:] = lengths[:-1]
-    first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in cut])[:-1]])
-    before[first] = 0
-    order = order[lengths[order] > 0]
-    begin, tail, owner = start[order], before[order], span[order]
-    room = limits[owner + 1] - begin
-    shared = _shared(raw, begin, room, window)
-    up, down = powers(len(raw) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(byte_codes()[raw] * up[:-1], dtype=np.uint64)])
+    raw = np.frombuffer(b"".join(contents), np.uint8)
+    limits = np.concatenate([[0], np.cumsum([len(c) for c in contents])]).astype(np.int64)
+    ahead = min(AHEAD, window // 2)
+    edges = _token_edges(raw, limits, ahead)
     weight = np.array(times, np.int64)
     change = np.zeros(len(raw) + 1, np.int64)
-    for t in range(1, min(int(tail.max(initial=0)), window - 1) + 1):
+    _mark(change, raw, limits, edges, weight, window, ahead)
+    # Windows that hold no edge but the first: they begin at an edge or after it, and end `ahead` bytes after the next one or before.
+    span = np.searchsorted(limits, edges, "right") - 1
+    after = np.append(edges[1:], len(raw))
+    last = np.where(after >= limits[span + 1], limits[span + 1] - window, after - window + ahead - 1)
+    inner = np.flatnonzero(last >= edges)
+    if len(inner):
+        sizes = last[inner] + window - edges[inner]
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        place = np.arange(starts[-1]) + np.repeat(edges[inner] - starts[:-1], sizes)
+        inside = np.zeros(len(place) + 1, np.int64)
+        _mark(inside, raw[place], starts, np.arange(len(place)), weight[span[inner]], window, 0)
+        covered = place[np.cumsum(inside[:-1]) > 0]
+        np.add.at(change, covered, 1)
+        np.add.at(change, covered + 1, -1)
+    flags = np.cumsum(change[:-1]) > 0
+    return [_runs(flags[a:z]) for a, z in zip(limits, limits[1:], strict=False)]
+
+
+def _token_edges(raw: np.ndarray, limits: np.ndarray, ahead: int) -> np.ndarray:
+    """Where tokens begin: at the beginning of a span, and where the next `ahead` bytes, all of the span, say so."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(raw),), "<u8", padded, 0, (1,)) & np.uint64((1 << 8 * ahead) - 1)
+    edge = mix(eight + np.uint64(1)) % np.uint64(TOKEN_BYTES) == 0
+    for k in range(1, ahead):
+        edge[limits[1:] - k] = False  # spans are longer than that
+    edge[limits[:-1]] = True
+    return np.flatnonzero(edge)
+
+
+def _mark(change: np.ndarray, raw: np.ndarray, limits: np.ndarray, edges: np.ndarray, weight: np.ndarray, window: int, ahead: int) -> None:
+    """Count up where repeated windows begin and down where they end: of windows whose first edge after their beginning has `ahead` bytes of them after it."""
+    span = np.searchsorted(limits, edges, "right") - 1
+    ends = limits[span + 1]
+    after = np.minimum(np.append(edges[1:], len(raw)), ends)
+    data = raw.tobytes()
+    tokens = [data[a:z] for a, z in zip(edges.tolist(), np.minimum(after + ahead, ends).tolist(), strict=True)]
+    number = {t: k + 1 for k, t in enumerate(sorted(set(tokens)))}
+    # A separator after each span is smaller than all tokens.
+    last = np.flatnonzero(after == ends)
+    symbols = np.insert(np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens)), last + 1, 0)
+    which = np.insert(np.arange(len(edges)), last + 1, -1)
+    order = which[np.array(linear_suffix_array(symbols.tolist()), np.int64)]
+    order = order[order >= 0]
+    begin = edges[order]
+    room = ends[order] - begin
+    before = np.zeros(len(edges), np.int64)  # bytes of the token before, in the same span
+    before[1:] = np.where(span[1:] == span[:-1], np.diff(edges), 0)
+    tail = np.minimum(before[order], window - max(ahead, 1))
+    shared = _shared(raw, begin, room, window)
+    # The same from the suffixes' beginnings backwards, also beyond their tails.
+    most = max(int(tail.max(initial=0)), 1)
+    turned = raw[::-1]
+    begin_back = len(raw) - begin
+    view = np.lib.stride_tricks.sliding_window_view(np.concatenate([turned, np.zeros(most, np.uint8)]), most)
+    back = np.argsort(view[begin_back].view(f"S{most}").ravel(), kind="stable")
+    shared_back = _shared(turned, begin_back[back], np.full(len(back), most), most)
+    owner = span[order]
+    for t in range(1, most + 1):
         some = np.flatnonzero((tail >= t) & (room >= window - t))
         if not len(some):
             continue
         parts = np.cumsum(shared < window - t)  # suffixes that share the rest of the window
-        at = begin[some] - t
-        key = mix((sums[begin[some]] - sums[at]) * down[at] + mix(parts[some].astype(np.uint64)))
-        _, which = np.unique(key, return_inverse=True)
-        hit = at[np.bincount(which, weight[owner[some]])[which] > 1.5]
+        heads = np.empty(len(back), np.int64)
+        heads[back] = np.cumsum(shared_back < t)  # suffixes that share the t bytes before
+        key = heads[some] * (len(order) + 1) + parts[some]
+        _, same = np.unique(key, return_inverse=True)
+        hit = begin[some][np.bincount(same, weight[owner[some]])[same] > 1.5] - t
         np.add.at(change, hit, 1)
         np.add.at(change, hit + window, -1)
-    covered = np.cumsum(change[:-1]) > 0
-    return [covered[a:z] for a, z in zip(limits, limits[1:], strict=False)]
 
 
 def _shared(raw: np.ndarray, begin: np.ndarray, room: np.ndarray, most: int) -> np.ndarray:
-    """Bytes that each suffix shares with the one before it in the array, up to `most` and the end of the shorter one."""
+    """Bytes that each suffix shares with the one before it in the order, up to `most` and the room of the shorter one."""
     out = np.zeros(len(begin), np.int64)
     padded = np.concatenate([raw, np.zeros(most, np.uint8)])
     view = np.lib.stride_tricks.sliding_window_view(padded, most)
@@ -178,7 +198,8 @@ def _runs(flags: np.ndarray) -> list[int]:
 def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, gram: int = 32) -> DataFrame:
     """Return id_col, n_bytes, n_removed, n_spans and kept (the bytes that stay) for every row."""
 
-    def solve(contents: list[bytes], times: list[int], _: list) -> list[list[int]]:
-        return repeated_windows(contents, times, window)
+    def solve(contents: list[bytes], times: list[int], _: list) -> tuple[list[list[int]], list[list[int]]]:
+        covers = repeated_windows(contents, times, window)
+        return covers, covers
 
     return remove_repeats(docs, id_col, text_col, Unit(False, window, gram), solve, earlier=False).toDF(id_col, "n_bytes", "n_removed", "n_spans", "kept")

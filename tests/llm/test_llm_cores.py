@@ -33,11 +33,11 @@ def runs(flags):
     return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], 1).ravel().tolist()
 
 
-@given(st.integers(0, 10**6), st.sampled_from([b"ab ", b"a ", b"abc", b"ab \n "]), st.sampled_from([4, 7, 11]))
+@given(st.integers(0, 10**6), st.sampled_from([b"ab ", b"a ", b"abc", b"ab \n "]), st.sampled_from([4, 7, 11, 30]))
 @settings(max_examples=120, deadline=None)
 def test_repeated_windows(seed, letters, window):
     rng = random.Random(seed)
-    some = [bytes(rng.choice(letters) for _ in range(rng.randint(window, 40))) for _ in range(5)]
+    some = [bytes(rng.choice(letters) for _ in range(rng.randint(window, 4 * window + 30))) for _ in range(5)]
     some = list(dict.fromkeys(some + [s[rng.randint(0, 3) :] + bytes(rng.choice(letters) for _ in range(window)) for s in some]))
     times = [rng.choice([1, 1, 2]) for _ in some]
     count = collections.Counter()
@@ -60,12 +60,13 @@ def test_earlier_windows(seed, window):
     rng = random.Random(seed)
     some = [[rng.choice("abc") for _ in range(rng.randint(window, 20))] for _ in range(6)]
     owners = [rng.randint(0, 4) for _ in some]
-    for words, owner, got in zip(some, owners, substring_dedup.earlier_windows([" ".join(s).encode() for s in some], owners, window), strict=True):
+    first, later = substring_dedup.earlier_windows([" ".join(s).encode() for s in some], owners, window)
+    for words, owner, got, rest in zip(some, owners, first, later, strict=True):
         flags = np.zeros(len(words), bool)
         for k in range(len(words) - window + 1):
             if any(o < owner and any(s[j : j + window] == words[k : k + window] for j in range(len(s) - window + 1)) for s, o in zip(some, owners, strict=True)):
                 flags[k : k + window] = True
-        assert got == runs(flags)
+        assert got == runs(flags) and rest == [0, len(words)]
 
 
 def test_wavelet_rank():

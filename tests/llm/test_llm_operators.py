@@ -437,8 +437,12 @@ def test_pipeline(spark, tmp_path):
     coded = steps["byte-level BPE"](spark, mixed, DATA).collect()
     text = {r.doc_id: r.text for r in mixed.collect()}
     assert sum(times.values()) == len(coded) and all(r.decoded_sha256 == hashlib.sha256((text[r.doc_id] or "").encode()).hexdigest() and len(r.ids) == 4 * r.n_tokens for r in coded)
-    for name, stage in corpus_pipeline.STAGES[1:]:
+    clashing = docs.withColumns({c: docs.doc_id for c in ("_a", "_b", "_row", "_nth", "_times", "_copy", "row", "score", "predicted", "kept")}).limit(40)
+    for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), DATA).count() == 0, name
+        if name != "byte-level BPE":
+            out = stage(spark, clashing, DATA)
+            assert out.columns == clashing.columns and all(r["_a"] == r["_copy"] == r["row"] == r["score"] == r.doc_id for r in out.collect()), name
 
 
 def test_mix_stage_row_by_row(spark):
@@ -446,7 +450,7 @@ def test_mix_stage_row_by_row(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     docs = docs.unionByName(docs.where("doc_id < 3"))
     marked = corpus_pipeline._marked(docs)
-    row = {repr(r["_row"]): tuple(r[c] for c in docs.columns) for r in marked.collect()}
+    row = {repr(r["_row"]): tuple(r["row"]) for r in marked.collect()}
     want = collections.Counter()
     for r in mix_sources(marked, id_col="_row").collect():
         want[row[repr(r["_row"])]] += r.taken // r.size if r.size else 0
