@@ -129,7 +129,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         sized = posted.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(step) + F.lit(shift)))
         lead = sized.groupBy("token", "band").agg(F.min(F.struct("k", "n", "need", "pos")).alias("lead"))
         both = sized.join(lead, ["token", "band"]).select(*(F.col(c).alias(c + "a") for c in ("k", "n", "need", "pos")), *(F.col("lead")[c].alias(c + "b") for c in ("k", "n", "need", "pos")))
-        led.append(_candidates(both.where("ka > kb"), percent).groupBy("ka").agg(F.max_by("kb", F.struct("shared", "kb")).alias("kb")))
+        near = both.where((F.col("ka") > F.col("kb")) & (F.least("na", "nb") * 200 >= F.greatest("na", "nb") * percent)).groupBy("ka", "kb")
+        near = near.agg(F.count("*").alias("shared"), F.first(F.least("needa", "needb")).alias("asked")).where("shared * 2 >= asked")
+        led.append(near.groupBy("ka").agg(F.max_by("kb", F.struct("shared", "kb")).alias("kb")))
     pairs = saved(led[0].union(led[1]).distinct(), "ngram-pairs")
     members = _members(pairs, sets, texts, docs, n)
     a, b = members.toDF("ka", "na", "ma"), members.toDF("kb", "nb", "mb")
@@ -170,9 +172,15 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def _may_link(percent: int) -> Column:
-    """Whether two sets that share a member at posa and posb of their orders have the sizes to link, and members enough before and after it."""
+    """Whether two sets that share a member at posa and posb of their orders have the sizes to link, the member in their prefixes, and members enough before and after it.
+
+    With all that two sets of these sizes must share known, their prefixes are shorter than those that were posted for partners of any size.
+    """
+    least = F.ceil((F.col("na") + F.col("nb")) * percent / F.lit(100.0 + percent))
+    asked = F.least("needa", "needb")
+    inside = (F.col("posa") + least < F.col("na") + asked) & (F.col("posb") + least < F.col("nb") + asked)
     most = F.least("posa", "posb") + F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb"))
-    return (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
+    return (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & inside & (most >= least)
 
 
 def _candidates(pairs: DataFrame, percent: int) -> DataFrame:
