@@ -84,6 +84,54 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
+    "op2_suffix_dedup": """
+        WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        chunks AS (SELECT doc_id, length(h) / 2 AS n, c, substring(h, 512 * c + 1, 910) AS part
+                   FROM (SELECT doc_id, h, unnest(range(0, CAST(ceil(length(h) / 512) AS BIGINT))) AS c FROM t)),
+        places AS (SELECT doc_id, n, c, part, unnest(range(1, CAST(least(256, n - 256 * c) AS BIGINT) + 1)) AS j FROM chunks),
+        windows AS (
+            SELECT doc_id, 256 * c + j AS i, substring(part, 2 * j - 1, 2) AS byte, n - 256 * c - j >= 199 AS whole,
+                   CASE WHEN n - 256 * c - j >= 199 THEN md5(substring(part, 2 * j - 1, 400)) END AS w
+            FROM places),
+        hits AS (SELECT doc_id, i, byte, whole AND count(*) OVER (PARTITION BY w) > 1 AS hit FROM windows),
+        covered AS (
+            SELECT doc_id, i, byte, max(CAST(hit AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS gone FROM hits),
+        runs AS (SELECT *, gone - coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 1 AS begins FROM covered),
+        sums AS (
+            SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, CAST(sum(CAST(begins AS INT)) AS BIGINT) AS n_spans,
+                   coalesce(string_agg(byte, '' ORDER BY i) FILTER (gone = 0), '') AS kept
+            FROM runs GROUP BY doc_id)
+        SELECT t.doc_id, CAST(length(h) / 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+        FROM t LEFT JOIN sums USING (doc_id)""",
+    "op4_ngram_join": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\\x20\\x09-\\x0D]+') AS words
+            FROM documents),
+        shingles AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 3 THEN list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])
+                                                WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS g
+            FROM w),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS s FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (
+            SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * s >= 90 * (x.n + y.n - s)),
+        reached AS (SELECT doc_id, doc_id AS other FROM w UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON r.other = l.a)
+        SELECT r.doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id
+        FROM reached r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id""",
+    "op8_substring_dedup": """
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+        places AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w),
+        windows AS (SELECT doc_id, i, words[i] AS word, md5(CASE WHEN len(words) - i >= 49 THEN array_to_string(words[i:i + 49], ' ') END) AS v FROM places),
+        hits AS (SELECT doc_id, i, word, v IS NOT NULL AND min(doc_id) OVER (PARTITION BY v) < doc_id AS hit FROM windows),
+        covered AS (
+            SELECT doc_id, i, word, max(CAST(hit AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM hits),
+        sums AS (
+            SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (gone = 0), '') AS kept
+            FROM covered GROUP BY doc_id)
+        SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN sums USING (doc_id)""",
     "op3_mix_sources": """
         WITH sized AS (
             SELECT doc_id, source,
@@ -125,7 +173,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id,
                max(doc_id) OVER (PARTITION BY t) AS keep_id,
                count(*) OVER (PARTITION BY t) AS group_size,
-               doc_id = max(doc_id) OVER (PARTITION BY t) AS kept,
+               row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
                sha256(t) AS text_sha256
         FROM n""",
 }

@@ -124,6 +124,58 @@ def test_near_copies_that_link_in_a_chain(spark):
     assert rows_of(jaccard_components(df, percent=99), "doc_id", "component_id") == [(k, k) for k in sorted(range(40), key=lambda k: repr((k, k)))]
 
 
+def near_group(size, words, seed, edits):
+    """Copies of one text with up to `edits` other words each."""
+    rng = random.Random(seed)
+    vocabulary = [f"v{k}" for k in range(3000)]
+    base, out = rng.choices(vocabulary, k=words), []
+    for _ in range(size):
+        text = list(base)
+        for _ in range(rng.randint(0, edits)):
+            text[rng.randrange(words)] = rng.choice(vocabulary)
+        out.append(" ".join(text))
+    return out
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+def test_groups_of_near_copies(spark, n, percent):
+    """Many pairs about the threshold, found by differences from a pivot."""
+    texts = [t for g in ((60, 100, 0, 4), (40, 150, 1, 6), (30, 60, 2, 5), (120, 80, 5, 8)) for t in near_group(*g)]
+    rows = [(k, t, None) for k, t in enumerate(texts)]
+    out = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), n=n, percent=percent)
+    want = sorted(brute_components(rows, n, percent), key=repr)
+    assert rows_of(out, "doc_id", "n_shingles", "component_id") == want and 4 < len({c for _, _, c in want}) < len(rows)
+
+
+def thue_morse(letters, length):
+    return "".join(letters[bin(k).count("1") % 2] for k in range(length))
+
+
+def test_contrived_words_and_lines_are_told_apart(spark):
+    """Such words collide under polynomials modulo powers of two."""
+    rows = [(1, thue_morse("ab", 1024)), (2, thue_morse("ba", 1024)), (3, thue_morse("ab", 1024) + "\n" + thue_morse("ba", 1024))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.component_id for r in jaccard_components(df, n=1, percent=90).orderBy("doc_id").collect()] == [1, 2, 3]
+    assert [r.n_dup_lines for r in judge_lines(df, learn_field(df, spark.createDataFrame([], "doc_id long, quality int"))).orderBy("doc_id").collect()] == [0, 0, 0]
+    rows = [(1, " ".join([thue_morse("ab", 1024)] * 60)), (2, " ".join([thue_morse("ba", 1024)] * 60))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.n_removed for r in remove_earlier_passages(df).collect()] == [0, 0]
+
+
+@pytest.mark.parametrize("anchor_bytes", [1, 16 << 20])
+def test_hot_anchors_are_parted(odd, anchor_bytes):
+    from alidade.llm.repeats import Unit, remove_repeats
+    from alidade.llm.suffix_dedup import repeated_windows
+
+    def solve(contents, times, _):
+        covers = repeated_windows(contents, times, 60)
+        return covers, covers
+
+    got = remove_repeats(odd, "doc_id", "text", Unit(False, 60, 16), solve, False, anchor_bytes=anchor_bytes)
+    want = remove_repeated_strings(odd, window=60, gram=16)
+    assert rows_of(got, *got.columns) == rows_of(want, *want.columns)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1040)] + [(5, 5)]
