@@ -238,6 +238,22 @@ def test_attributes_that_do_not_drop_the_main_text(page):
     assert kept(page) == ["x"]
 
 
+@pytest.mark.parametrize("piece", ["<a ", "<", "<a '\">", "<a \"", "<!--", "<!", "</script", "<script><p>", "<div></span>", "<div>" , "<a \"><b '>", "&", "<p>x"])
+def test_time_on_odd_pages_is_in_proportion(piece):
+    import time
+
+    page = "<p>first</p>" + piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    assert html_text.read_blocks(page)[0][0].startswith("first")
+    assert time.process_time() - began < 15
+
+
+def test_a_tag_without_end_and_a_quote_without_end():
+    assert html_text.read_blocks('<p>a</p><p title="x>b</p><p>c</p>') == [("a", html_text.OPEN), ("b", html_text.OPEN), ("c", html_text.OPEN)]
+    assert html_text.read_blocks("<p>a</p><p b") == [("a", html_text.OPEN), ("<p b", html_text.OPEN)]
+    assert kept("<article><script>if (a < b) x = '<!--'; </script><p>x</p></article>") == ["x"]
+
+
 def test_repeated_tokens():
     line = "one two three four five six seven eight nine"
     pages = [[line, "only here " * 5], ["first", line], [line + " " + line], []]
