@@ -2,7 +2,8 @@
 
 A line is described by binary features of its bytes. The field has two labels, content and boilerplate,
 a weight for each label and feature and one for each pair of neighbouring labels. It is trained in numpy
-by full-batch ascent of the conditional likelihood. Viterbi decoding gives the best label sequence of a text.
+by full-batch ascent of the conditional likelihood, on labels of lines that are drawn from what the lines alone speak for and
+from the verdict on their text. Viterbi decoding gives the best label sequence of a text.
 
 Defined results: a null or empty text is one empty line: all counts 0, base_failed true, kept false;
 a text of any length is read whole; words are parted by the bytes 9 to 13 and 32; repeated rows and ids are
@@ -177,29 +178,60 @@ def line_blocks(codes: list[np.ndarray], size: int) -> tuple[list[np.ndarray], n
     return [b for b, _ in blocks], np.array([k for _, k in blocks])
 
 
-def train_field(codes: list[np.ndarray], labels: list[int], rounds: int = 120, rate: float = 0.2, decay: float = 1e-3, block_lines: int = 48) -> Field:
-    """Maximise the conditional log likelihood of label sequences, each text's lines having one label.
+def line_labels(margin: np.ndarray, words: np.ndarray, verdict: int, least_share: float) -> np.ndarray:
+    """Labels of one text's lines: what their own margin (content over boilerplate) says, as far as the text's verdict allows.
 
-    Longer texts are sequences of at most block_lines lines, all of which are used; this bounds the steps of a round, not what is learned from.
+    Lines with at least least_share of the words have the verdict's label: where the margins say less, the lines whose margin
+    speaks least against the verdict take its label, the earlier of equal ones first. A text without words has it throughout.
+    """
+    towards = margin if verdict == CONTENT else -margin
+    agree = towards >= 0
+    need = least_share * words.sum() - words[agree].sum()
+    if words.sum() == 0:
+        agree[:] = True
+    elif need > 0:
+        against = np.flatnonzero(~agree & (words > 0))
+        against = against[np.argsort(-towards[against], kind="stable")]
+        agree[against[: np.searchsorted(np.cumsum(words[against]), need) + 1]] = True
+    return np.where(agree, verdict, 1 - verdict)
+
+
+def train_field(codes: list[np.ndarray], words: list[np.ndarray], verdicts: list[int], least_share: float = 0.6, rounds: int = 120, block_lines: int = 48) -> Field:
+    """Fit the field to texts of which only the verdict is known, in two steps.
+
+    First each line stands alone, without steps between labels, and has its text's verdict: the weights then say what a line's
+    own features (repetition, structure, symbols) speak for. By them and the verdict each line gets its label (line_labels), so
+    that labels vary within a text; the field with its steps is fitted to these sequences.
     """
     field = Field(np.zeros((N_FEATURES, 2)), np.zeros((2, 2)))
-    if len(set(labels)) < 2:
+    if len(set(verdicts)) < 2:
         return field
+    alike = [np.full(len(c), v) for c, v in zip(codes, verdicts, strict=True)]
+    alone = _ascend(field, codes, alike, verdicts, rounds, block_lines, chained=False)
+    weight = alone.state[:, CONTENT] - alone.state[:, BOILERPLATE]
+    labels = [line_labels(one_hot(c) @ weight, w, v, least_share) for c, w, v in zip(codes, words, verdicts, strict=True)]
+    return _ascend(alone, codes, labels, verdicts, rounds, block_lines, chained=True)
+
+
+def _ascend(field: Field, codes: list[np.ndarray], labels: list[np.ndarray], verdicts: list[int], rounds: int, block_lines: int, chained: bool, rate: float = 0.2, decay: float = 1e-3) -> Field:
+    """Maximise the conditional log likelihood of the label sequences; unless chained, steps between labels stay as they are.
+
+    Longer texts are sequences of at most block_lines lines, all of which are used; this bounds the steps of a round, not what is learned from.
+    """
     codes, text_of = line_blocks(codes, block_lines)
     length = np.array([len(c) for c in codes])
-    x = np.zeros((len(codes), length.max()), np.int64)
-    for row, c in zip(x, codes, strict=True):
-        row[: len(c)] = c
+    x, y = np.zeros((2, len(codes), length.max()), np.int64)
+    for row, label_row, c, one in zip(x, y, codes, line_blocks(labels, block_lines)[0], strict=True):
+        row[: len(c)], label_row[: len(c)] = c, one
     live = np.arange(x.shape[1]) < length[:, None]
-    each = np.array(labels)
-    y = each[text_of]
+    each = np.array(verdicts)
     # Both kinds of text count alike, each text of a kind, and each line of a text.
-    weight = np.where(y == 1, 0.5 / (each == 1).sum(), 0.5 / (each == 0).sum()) / np.bincount(text_of, length)[text_of]
+    weight = np.where(each[text_of] == 1, 0.5 / (each == 1).sum(), 0.5 / (each == 0).sum()) / np.bincount(text_of, length)[text_of]
     hot = one_hot(x)
     moments = [np.zeros(N_FEATURES * 2 + 4) for _ in range(2)]
     for turn in range(1, rounds + 1):
-        grad_state, grad_step = _gradient(field, hot, live, y, weight, length)
-        flat = np.concatenate([(grad_state - decay * field.state).ravel(), (grad_step - decay * field.step).ravel()])
+        grad_state, grad_step = _gradient(field, hot, live, y, weight)
+        flat = np.concatenate([(grad_state - decay * field.state).ravel(), (grad_step - decay * field.step).ravel() * chained])
         moments[0] = 0.9 * moments[0] + 0.1 * flat
         moments[1] = 0.99 * moments[1] + 0.01 * flat**2
         move = rate * (moments[0] / (1 - 0.9**turn)) / (np.sqrt(moments[1] / (1 - 0.99**turn)) + 1e-8)
@@ -207,7 +239,7 @@ def train_field(codes: list[np.ndarray], labels: list[int], rounds: int = 120, r
     return field
 
 
-def _gradient(field: Field, hot: np.ndarray, live: np.ndarray, y: np.ndarray, weight: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _gradient(field: Field, hot: np.ndarray, live: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     scores = hot @ field.state
     n, size, _ = scores.shape
     ahead, behind = np.zeros((n, size, 2)), np.zeros((n, size, 2))
@@ -220,15 +252,16 @@ def _gradient(field: Field, hot: np.ndarray, live: np.ndarray, y: np.ndarray, we
     total = np.logaddexp.reduce(ahead[:, -1], axis=1)
     marginal = np.exp(ahead + behind - total[:, None, None]) * live[..., None]
     target = np.zeros_like(marginal)
-    target[np.arange(n)[:, None], np.arange(size), y[:, None]] = 1.0
+    target[np.arange(n)[:, None], np.arange(size), y] = 1.0
     target *= live[..., None]
     by_line = (target - marginal) * weight[:, None, None]
     grad_state = np.einsum("ntf,ntl->fl", hot, by_line, optimize=True)
     pair = np.exp(ahead[:, :-1, :, None] + field.step + (scores + behind)[:, 1:, None, :] - total[:, None, None, None]) * live[:, 1:, None, None]
     grad_step = -(pair * weight[:, None, None, None]).sum(axis=(0, 1))
-    for label in (0, 1):
-        mine = y == label
-        grad_step[label, label] += (weight[mine] * (length[mine] - 1)).sum()
+    for here in (0, 1):
+        for onward in (0, 1):
+            taken = (y[:, :-1] == here) & (y[:, 1:] == onward) & live[:, 1:]
+            grad_step[here, onward] += (weight[:, None] * taken).sum()
     return grad_state, grad_step
 
 
@@ -240,17 +273,18 @@ def sample_labels(labels: DataFrame, most: int, id_col: str = "doc_id", label_co
 
 
 def learn_field(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_docs: int = 1500) -> Field:
-    """Train on all lines of at most most_docs labelled texts: a text of label 1 stands for content."""
-    schema = T.StructType([T.StructField("codes", T.BinaryType()), T.StructField("label", T.IntegerType())])
+    """Train on all lines of at most most_docs labelled texts: most of a text of label 1 is content, most of the others is not."""
+    schema = T.StructType([T.StructField("codes", T.BinaryType()), T.StructField("words", T.BinaryType()), T.StructField("label", T.IntegerType())])
 
     def coded(batch: pa.RecordBatch) -> pa.RecordBatch:
         lines = describe(*reversed(offsets_and_bytes(batch.column("text"))))
-        kept = [lines.codes[a:z].tobytes() for a, z in zip(lines.first, lines.first[1:], strict=False)]
-        return pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), batch.column("label")], ["codes", "label"])
+        kept = [pa.array([x[a:z].tobytes() for a, z in zip(lines.first, lines.first[1:], strict=False)], pa.binary()) for x in (lines.codes, lines.words)]
+        return pa.RecordBatch.from_arrays([*kept, batch.column("label")], schema.names)
 
     chosen = F.broadcast(sample_labels(labels, most_docs, id_col, label_col))
     rows = map_texts(keyed(docs, id_col, text_col).join(chosen, F.col("id") == F.col("label_id")).select("text", "label"), coded, schema).collect()
-    return train_field([np.frombuffer(r.codes, np.int64) for r in rows], [CONTENT if r.label == 1 else BOILERPLATE for r in rows])
+    codes, words = ([np.frombuffer(r[c], np.int64) for r in rows] for c in ("codes", "words"))
+    return train_field(codes, words, [CONTENT if r.label == 1 else BOILERPLATE for r in rows])
 
 
 def judge_lines(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", least_content: float = 0.5) -> DataFrame:

@@ -133,10 +133,27 @@ def test_viterbi_is_best():
         assert abs(total(field.decode(codes).tolist()) - best) < 1e-9
 
 
+def test_line_labels_hold_the_verdict():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        n = int(rng.integers(1, 9))
+        margin, words, verdict, share = rng.integers(-3, 4, n) / 2, rng.integers(0, 4, n), int(rng.integers(2)), 0.75
+        out = quality_rules.line_labels(margin, words, verdict, share)
+        own = np.where((margin if verdict == 0 else -margin) >= 0, verdict, 1 - verdict)
+        assert words[out == verdict].sum() >= share * words.sum() and (out[own == verdict] == verdict).all()
+        turned = np.flatnonzero((own != out) & (words > 0))
+        if words.sum() and len(turned):
+            # None is turned for nothing: without the one that speaks most against the verdict the share is not reached.
+            last = turned[np.lexsort((-turned, -abs(margin[turned])))[0]]
+            assert words[out == verdict].sum() - words[last] < share * words.sum()
+            left = np.flatnonzero((out != verdict) & (words > 0))
+            assert not len(left) or abs(margin[turned]).max() <= abs(margin[left]).min()
+
+
 def test_field_gradient():
     rng = np.random.default_rng(5)
     codes = [rng.integers(0, 1 << quality_rules.N_FEATURES, n) for n in (1, 3, 4)]
-    length, y, weight = np.array([1, 3, 4]), np.array([0, 1, 0]), np.array([0.5, 1.0, 0.25])
+    length, y, weight = np.array([1, 3, 4]), rng.integers(0, 2, (3, 4)), np.array([0.5, 1.0, 0.25])
     x = np.zeros((3, 4), np.int64)
     for row, c in zip(x, codes, strict=True):
         row[: len(c)] = c
@@ -148,10 +165,10 @@ def test_field_gradient():
         out = 0.0
         for c, label, w in zip(codes, y, weight, strict=True):
             _, total = brute_viterbi(f, c)
-            out += w * (total([label] * len(c)) - np.log(sum(np.exp(total(p)) for p in itertools.product((0, 1), repeat=len(c)))))
+            out += w * (total(label[: len(c)].tolist()) - np.log(sum(np.exp(total(p)) for p in itertools.product((0, 1), repeat=len(c)))))
         return out
 
-    state, step = quality_rules._gradient(field, quality_rules.one_hot(x), np.arange(4) < length[:, None], y, weight, length)
+    state, step = quality_rules._gradient(field, quality_rules.one_hot(x), np.arange(4) < length[:, None], y, weight)
     for part, grad in ((field.state, state), (field.step, step)):
         for at in [(0, 0), (1, 1), (1, 0)]:
             old = part[at]

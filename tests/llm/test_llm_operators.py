@@ -333,6 +333,24 @@ def test_quality_rules(odd, none):
     assert learn_field(none, odd.sparkSession.createDataFrame([], "doc_id long, quality int")).state.sum() == 0
 
 
+def test_quality_rules_label_lines_within_a_text(spark):
+    """Texts of both kinds mix plain lines and junk; every line is told apart and the share of content decides, in labelled texts and others."""
+    plain = ["Some plain words of a line that go on and on to its end.", "It was here that others had come by before them and stayed.", "Nobody knew why they came or where they meant to go after."]
+    junk = ["buy $$$ | now ### | 9 9 9", "# $ | more %%% | 1 2 3", "<a> & <b> | *** | 7 7"]
+    rows = []
+    for k in range(60):
+        share = 8 if k % 2 == 0 else 2
+        mixed = [(plain if (j * 7 + k) % 10 < share else junk)[(j + k) % 3] + f" {'abcdefghij'[j % 10] * (j // 10 + 1)}" for j in range(20)]
+        rows.append((k, "\n".join(mixed)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    field = learn_field(docs, spark.createDataFrame([(k, 1 - k % 2) for k in range(40)], "doc_id long, quality int"))
+    for r in judge_lines(docs, field).collect():
+        lines = rows[r.doc_id][1].split("\n")
+        want = sum(len(x.split()) for x in lines if x[:8] in {p[:8] for p in plain})
+        assert r.content_words == want and 0 < want < r.n_words
+        assert r.kept == (not r.base_failed and 2 * want >= r.n_words)
+
+
 def test_quality_rules_learn_from_late_lines(spark):
     """Texts of both kinds begin alike; only lines after the first hundred differ."""
     head = "\n".join(f"plain words of line {k} that go on." for k in range(100))
