@@ -22,7 +22,7 @@ from alidade.llm.html_text import extract_text
 from alidade.llm.language_id import identify_languages, learn_languages
 from alidade.llm.mixing import mix_sources
 from alidade.llm.ngram_join import jaccard_components
-from alidade.llm.quality_classifier import RuleEnsemble, learn_quality, score_quality
+from alidade.llm.quality_classifier import RuleEnsemble, learn_quality, matches, score_quality, statistics
 from alidade.llm.quality_rules import judge_lines, learn_field
 from alidade.llm.substring_dedup import remove_earlier_passages
 from alidade.llm.suffix_dedup import remove_repeated_strings
@@ -370,6 +370,39 @@ def test_quality_classifier(odd, none):
     assert {r.score for r in score_quality(odd, learn_quality(none, labels)).collect()} == {0.5}
 
 
+def brute_statistics(text):
+    text = text or ""
+    words, lines = WORD.findall(text), text.split("\n")
+    n, some = max(len(text), 1), max(len(words), 1)
+    share = [sum(c in kinds for c in text) / n for kinds in ("#*$%&|<>", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "!?")]
+    return [math.log1p(len(words)), *share, sum(map(len, words)) / some, len(set(words)) / some, len(set(lines)) / len(lines), len(words) / len(lines)]
+
+
+def test_quality_scores_by_brute_force(odd):
+    """Statistics counted in Python, rules held against them in numpy, and the fit, which does not depend on the order of rows."""
+    docs, labels = (odd.sparkSession.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    model = learn_quality(docs, labels)
+    turned = learn_quality(docs.repartition(5, "text"), labels.repartition(3, "quality"))
+    assert turned.rules == model.rules and turned.bias == model.bias and model.rules
+    for some in (docs.select("doc_id", "text"), odd.select("doc_id", "text")):
+        rows = some.select("text", *(c.alias(k) for k, c in statistics(some["text"]).items())).collect()
+        x = np.array([brute_statistics(r.text) for r in rows])
+        assert np.allclose(x, np.array([tuple(r)[1:] for r in rows]), atol=1e-12)
+        total = model.bias + sum(w * matches(b, x, list(statistics(some["text"]))) for b, w in model.rules)
+        want = collections.Counter(zip((r.text for r in rows), np.round(1 / (1 + np.exp(-total)), 9).tolist(), strict=True))
+        assert collections.Counter((r.text, round(r.score, 9)) for r in score_quality(some, model).collect()) == want
+
+
+def test_rows_without_an_id_are_in_no_fold(spark, tmp_path):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    docs.unionByName(docs.limit(1).withColumn("doc_id", docs.doc_id * None)).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for name in ("op1_quality_classifier", "op5_language_id"):
+        got = queries.QUERIES[name](spark, str(tmp_path)).collect()
+        divisor, rest = (5, 0) if name.startswith("op1") else (4, 2)
+        assert len(got) == docs.count() + 1 and all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % divisor == rest) for r in got)
+
+
 def test_language_id(odd, none):
     docs = odd.sparkSession.read.parquet("/root/testdata/sf0.01/documents.parquet")
     net = learn_languages(docs)
