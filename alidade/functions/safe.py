@@ -33,5 +33,6 @@ def correlation(x: Column, y: Column) -> Column:
 
 
 def exact_sum(x: Column, scale: int = 4) -> Column:
-    """A sum that does not depend on the order of rows: terms are decimals of `scale` places."""
-    return F.sum(x.cast(f"decimal(24,{scale})")).cast("double")
+    """A sum that does not depend on the order of rows: terms are rounded to `scale` places as decimals; null if one is too large for that, from 1e20 on at 4 places."""
+    terms = x.try_cast(f"decimal(24,{scale})")
+    return F.when(F.count(terms) == F.count(x), F.sum(terms).cast("double"))

@@ -39,9 +39,10 @@ def difference(first: DataFrame, second: DataFrame, tolerance: float = 1e-9) ->
 def fingerprints(values: DataFrame) -> DataFrame:
     """factor_id, n_values, first_dt, last_dt, value_sum, key_sum: sums that do not depend on the order or partitioning of rows.
 
-    value_sum is of values as decimals; key_sum weighs each with a hash of its place, so that swapped values show.
+    value_sum is of values as decimals, a hash standing for those of 1e20 or more; key_sum weighs each with a hash of its place, so that swapped values show.
     """
-    v = F.round("value", PLACES).cast(f"decimal(28,{PLACES})")
+    large = F.pmod(F.xxhash64("value"), F.lit(10**18)).cast(f"decimal(28,{PLACES})")
+    v = F.coalesce(F.round("value", PLACES).try_cast(f"decimal(28,{PLACES})"), large)
     spot = F.pmod(F.xxhash64("instrument", "dt"), F.lit(9973))
     present = values.where("value is not null")
     return present.groupBy("factor_id").agg(
@@ -50,6 +51,14 @@ def fingerprints(values: DataFrame) -> DataFrame:
     )
 
 
+def panel_fingerprint(panel: DataFrame) -> str:
+    """Rows and sum of row hashes of a panel, whatever the order of its rows and columns; nulls count by their place."""
+    names = sorted(panel.columns)
+    each = F.xxhash64(*names, *(F.col(c).isNull() for c in names)).cast("decimal(38,0)")
+    rows, total = panel.agg(F.count("*"), F.coalesce(F.sum(each), F.lit(0))).first()
+    return f"{rows}:{total}"
+
+
 def manifest(values: DataFrame, definitions: DataFrame, evidence: dict[str, str] | None = None) -> DataFrame:
     """fingerprints with the definition and a canonical string of evidence (versions, inputs, seed)."""
     note = json.dumps(evidence or {}, sort_keys=True, separators=(",", ":"))

@@ -16,13 +16,15 @@ from alidade.operators import screening as sc
 from alidade.operators import timeseries as ts
 from alidade.operators.audit import annual_review, difference, factor_id, manifest
 from alidade.plans.grammar import evaluate, generate, long_values, parse, to_sql
-from alidade.plans.mining import labelled_values, recompute
+from alidade.plans.mining import held_out, labelled_values, recompute
 from alidade.sources.tables import daily_panel, monthly_panel
 
 #: Definitions that the screening queries use.
 FIXED = ["cs_rank(ts_ret(total,1))", "cs_z(ts_mean(total,3))", "cs_rank(div(total,high))", "cs_z(ts_std(mean,5))"]
 GENERATED = generate(["total", "mean", "high", "low"], 24, seed=20)
 KEYS = ("instrument", "dt")
+#: The last date that screening sees, and the correlation beyond which a factor goes, in the queries.
+UNTIL, MOST_ALIKE = "2024-01-20", 0.3
 
 
 def _round(df: DataFrame, *plain: str) -> DataFrame:
@@ -114,6 +116,25 @@ def q_buckets(spark: SparkSession, d: str) -> DataFrame:
     return _round(sc.bucket_means(_values(spark, d)))
 
 
+def q_held_out(spark: SparkSession, d: str) -> DataFrame:
+    return _round(held_out(daily_panel(spark, d), FIXED, UNTIL))
+
+
+def q_pruned(spark: SparkSession, d: str) -> DataFrame:
+    values = _values(spark, d)
+    ranking = [(r.factor_id, abs(r.t_ratio or 0.0)) for r in sc.summary(sc.information_coefficients(values)).collect()]
+    pairs = [(r.factor_a, r.factor_b, r.correlation) for r in sc.factor_correlations(values).collect()]
+    kept = sc.prune_redundant(ranking, pairs, MOST_ALIKE)
+    return spark.createDataFrame([(name, name in kept) for name, _ in ranking], "factor_id string, kept boolean")
+
+
+def q_planted(spark: SparkSession, d: str) -> DataFrame:
+    """Differences from a copy in which every seventh instrument is missing and every fifth is off by a half."""
+    values = long_values(evaluate(daily_panel(spark, d), FIXED), FIXED)
+    off = F.when(F.col("instrument") % 5 == 0, F.col("value") + 0.5).otherwise(F.col("value"))
+    return _round(difference(values, values.where("instrument % 7 <> 0").withColumn("value", off)))
+
+
 def q_recompute(spark: SparkSession, d: str) -> DataFrame:
     panel = daily_panel(spark, d)
     return difference(long_values(evaluate(panel, FIXED), FIXED), recompute(panel, FIXED)).drop("largest")
@@ -258,6 +279,30 @@ _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         f"""{_LABELLED}, b AS (SELECT factor_id, label, ntile(5) OVER (PARTITION BY factor_id, dt ORDER BY round(value, 9), instrument) AS bucket FROM vals WHERE value IS NOT NULL AND label IS NOT NULL)
         SELECT factor_id, CAST(bucket AS INTEGER) AS bucket, count(*) AS n, {_r("avg(label)", "label_mean")} FROM b GROUP BY 1, 2""",
     ),
+    "screen_held_out": (
+        q_held_out,
+        f"""{_LABELLED}, {_ICS} SELECT factor_id, count(ic) AS dates, {_r("avg(ic)", "ic_mean")}, {_r("stddev_samp(ic)", "ic_std")}, {_r("avg(rank_ic)", "rank_ic_mean")},
+        {_r("avg(CASE WHEN ic IS NOT NULL THEN CAST(ic > 0 AS INTEGER) END)", "positive")}, {_r("avg(coverage)", "coverage")},
+        {_r("avg(ic) * sqrt(CAST(count(ic) AS DOUBLE)) / nullif(stddev_samp(ic), 0)", "t_ratio")} FROM ics WHERE dt > DATE '{UNTIL}' GROUP BY factor_id""",
+    ),
+    "screen_pruned": (
+        q_pruned,
+        f"""WITH RECURSIVE {_LABELLED[5:]}, {_ICS}, v AS (SELECT * FROM vals WHERE value IS NOT NULL),
+        t AS (SELECT factor_id, coalesce(abs(avg(ic) * sqrt(CAST(count(ic) AS DOUBLE)) / nullif(stddev_samp(ic), 0)), 0) AS t FROM ics GROUP BY 1),
+        tied AS (SELECT a.factor_id AS a, b.factor_id AS b FROM v a JOIN v b ON a.instrument = b.instrument AND a.dt = b.dt AND a.factor_id <> b.factor_id
+                 GROUP BY 1, 2 HAVING abs({_CORR.format(x="a.value", y="b.value")}) > {MOST_ALIKE}),
+        places AS (SELECT factor_id, row_number() OVER (ORDER BY t DESC, factor_id) AS k, coalesce((SELECT list(b) FROM tied WHERE a = factor_id), []) AS others FROM t),
+        walk(k, names) AS (
+            SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[])
+            UNION ALL SELECT p.k, CASE WHEN list_has_any(w.names, p.others) THEN w.names ELSE list_append(w.names, p.factor_id) END FROM walk w JOIN places p ON p.k = w.k + 1)
+        SELECT factor_id, list_contains((SELECT names FROM walk ORDER BY k DESC LIMIT 1), factor_id) AS kept FROM places""",
+    ),
+    "recompute_planted": (
+        q_planted,
+        f"""WITH {_DAILY}, {_long(FIXED)} SELECT factor_id, count(*) AS rows, CAST(sum(CAST(instrument % 7 = 0 AS INTEGER)) AS BIGINT) AS missing,
+        CAST(sum(CAST(instrument % 7 <> 0 AND instrument % 5 = 0 AND value IS NOT NULL AS INTEGER)) AS BIGINT) AS beyond,
+        {_r("max(CASE WHEN instrument % 7 <> 0 AND value IS NOT NULL THEN CASE WHEN instrument % 5 = 0 THEN 0.5 / greatest(1, abs(value), abs(value + 0.5)) ELSE 0 END END)", "largest")} FROM vals GROUP BY 1""",
+    ),
     "recompute_difference": (
         q_recompute,
         f"WITH {_DAILY}, {_long(FIXED)} SELECT factor_id, count(*) AS rows, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS beyond FROM vals GROUP BY 1",

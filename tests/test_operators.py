@@ -105,6 +105,12 @@ def test_panel_does_not_depend_on_partitioning(spark):
     assert a == b
 
 
+def test_values_too_large_for_an_exact_sum(spark):
+    rows = spark.createDataFrame([(1, DAY[0], 1e21), (1, DAY[0], 2.0), (2, DAY[0], 3.00004), (3, DAY[0], None)], "k long, d date, v double")
+    got = {r.instrument: (r.total, r.n, r.high) for r in build_panel(rows, F.col("k"), F.col("d"), F.col("v")).collect()}
+    assert got == {1: (None, 2, 1e21), 2: (3.0, 1, 3.00004), 3: (None, 0, None)}
+
+
 @pytest.mark.parametrize("kind", ["parquet", "orc", "csv", "json"])
 def test_formats(spark, tmp_path, kind):
     rows = frame(spark, [(1, 0, 1.5, None), (2, 1, None, 2.0)])
