@@ -164,9 +164,11 @@ def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     chosen = usable.groupBy(F.col(id_col).alias("label_id")).agg(F.min(label_col).cast("int").alias("label")).orderBy(F.xxhash64("label_id"), "label_id").limit(most_docs)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("label_id"))
     stats = statistics(F.col("text"))
-    rows = texts.select("label", *(c.alias(k) for k, c in stats.items())).orderBy(*stats).collect()
+    rows = texts.select("label", *(c.alias(k) for k, c in stats.items())).collect()
     x = np.array([[r[k] for k in stats] for r in rows], float).reshape(len(rows), len(stats))
-    return fit_rules(x, np.array([r.label for r in rows], int), list(stats))
+    y = np.array([r.label for r in rows], int)
+    order = np.lexsort((y, *x.T[::-1]))  # sums do not depend on the order in which rows arrive
+    return fit_rules(x[order], y[order], list(stats))
 
 
 def score_quality(docs: DataFrame, model: RuleEnsemble, id_col: str = "doc_id", text_col: str = "text", least: float = 0.3) -> DataFrame:
