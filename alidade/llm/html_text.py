@@ -6,9 +6,12 @@ footer, sidebar, notice, advert, form or comment; `main` if it stands in an arti
 runs of `run` tokens or more that stand on two or more distinct pages, which differ in id and in content (the tokens
 that are not in dropped blocks), so that copies of a page under several addresses say nothing against each other.
 The tokens of such runs within a block are cut out of open blocks, and what is left of a block is joined; runs over the
-edges of blocks count for blocks that runs cover wholly. A page with main blocks keeps just
-those: there repetition is no sign of boilerplate, as hosts also serve one article under several addresses, with
-other parts around it. Other pages keep the unique runs of their open blocks.
+edges of blocks count for blocks that runs cover wholly. Pages without main blocks keep the unique runs of their open blocks.
+
+A page with main blocks keeps just those, less the host's notices: the runs of main blocks that stand in more than half of the distinct
+main texts of the host, and in `few` of them or more, on as many page ids. Two pages are not enough there, as hosts also serve one article under several
+addresses and articles quote each other. Where notices would take more than half of a page's main tokens, most of
+the host is near copies of one article, and the page stays whole.
 
 Defined results: null or empty html gives an empty text; unclosed and stray tags are read as far as they
 make sense; an unclosed comment or script reaches to the end; pages whose url is null or names no host are compared with no page; repeated
@@ -22,6 +25,7 @@ import collections
 import html as entities
 import itertools
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alidade.llm.common import BROADCAST_ROWS, id_field, if_small, saved, small_batches
+from alidade.llm.common import BROADCAST_ROWS, id_field, if_small, release, saved, small_batches
 from alidade.llm.words import content_hashes, gram_hashes, word_hashes, word_spans
 
 DROPPED, OPEN, MAIN, DOUBTFUL = 0, 1, 2, 3
@@ -59,6 +63,10 @@ VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embe
 #: Elements that are followed from start to end tag.
 NESTED = BLOCKS - VOID - {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "td", "th", "html", "body"} | {"span"}
 JOINT = re.compile(r"[-_]+")
+#: Slots of the sketch of a host's runs; runs of equal slots share a counter.
+SLOTS = 1 << 16
+#: Slot entries that a task holds at once, and slots of a host that are listed; a host with more has all of them read.
+HELD_SLOTS, LISTED_SLOTS = 8 << 20, 512
 
 
 def _named(attrs: str) -> tuple[bool, bool, bool]:
@@ -231,17 +239,45 @@ def page_contents(codes: np.ndarray, first: np.ndarray, limits: np.ndarray, kind
     return content_hashes(codes[stays].tobytes(), (limits[:-1] * 8).tolist(), (limits[1:] * 8).tolist()).view(np.int64)
 
 
+def ranked_runs(codes: np.ndarray, limits: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run that stays within its page the hash, the page, and the rank in the suffix array of the pages' streams, which is equal for equal runs."""
+    page_of = np.repeat(np.arange(len(limits) - 1), np.diff(limits))
+    at, hashes = run_places(codes, limits, run)
+    # A sign of its own after each page, so that no run goes on into the next page.
+    symbols = np.insert(codes, limits[1:], np.arange(len(limits) - 1, dtype=np.uint64))
+    return hashes, page_of[at], suffix_order(symbols, run)[1][at + page_of[at]]
+
+
+def runs_by_page(codes: np.ndarray, limits: np.ndarray, same: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of the pages by the suffix array, each once for all pages of equal numbers in `same`: their hashes and one such page."""
+    hashes, page, rank = ranked_runs(codes, limits, run)
+    place = np.unique(rank * (int(same.max(initial=0)) + 1) + same[page], return_index=True)[1]
+    return hashes[place], page[place]
+
+
+def run_slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(48)).astype(np.int64)
+
+
+def packed_counts(slots: np.ndarray) -> bytes:
+    """How often each slot is there, packed."""
+    found, counts = np.unique(slots, return_counts=True)
+    return zlib.compress(np.diff(found, prepend=0).astype("<u2").tobytes() + counts.astype("<u4").tobytes(), 1)
+
+
+def add_counts(total: np.ndarray, packed: bytes) -> None:
+    """Add packed counts to an array of SLOTS counters."""
+    raw = zlib.decompress(packed)
+    n = len(raw) // 6
+    total[np.cumsum(np.frombuffer(raw, "<u2", n).astype(np.int64))] += np.frombuffer(raw, "<u4", n, 2 * n)
+
+
 def distinct_runs(codes: np.ndarray, limits: np.ndarray, hosts: np.ndarray, ids: np.ndarray, contents: np.ndarray, run: int) -> tuple[np.ndarray, ...]:
     """The distinct runs of each host, by the suffix array of the pages' streams: host, hash, and of the pages they stand on the least and greatest id and content.
 
     If both ids and contents differ, then two of the pages differ in both.
     """
-    page_of = np.repeat(np.arange(len(hosts)), np.diff(limits))
-    at, hashes = run_places(codes, limits, run)
-    # A sign of its own after each page, so that no run goes on into the next page.
-    symbols = np.insert(codes, limits[1:], np.arange(len(hosts), dtype=np.uint64))
-    rank = suffix_order(symbols, run)[1][at + page_of[at]]
-    page = page_of[at]
+    hashes, page, rank = ranked_runs(codes, limits, run)
     names, number = np.unique(hosts, return_inverse=True)
     _, place, same = np.unique(rank * len(names) + number[page], return_index=True, return_inverse=True)
     limits_of = []
@@ -290,14 +326,17 @@ def host(url: Column) -> Column:
 
 
 def extract_text(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = 8, shard_pages: int = 256
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = 8, shard_pages: int = 256, few: int = 8
 ) -> DataFrame:
     """Return id_col, url_col and text for every row.
 
-    Repetition is judged over all pages of a host. Only hosts with a page that has open blocks and no main ones are asked about.
-    Of these, suffix arrays over shard_pages pages at a time give each host's distinct runs, with the least and greatest
+    Repetition is judged over all pages of a host, by suffix arrays over shard_pages pages at a time. For open blocks, on hosts with a page
+    that has some and no main ones, they give each host's distinct runs, with the least and greatest
     id and content of the pages they stand on; these are combined by the hash of the run, before the shuffle and after it, so that neither
     a host of any size nor a run on all its pages is a task of its own. shard_pages is a matter of memory: the text does not depend on it.
+
+    For main blocks they give the distinct runs of each main text. A sketch counts these by host and slot of the run, so that a slot's counter is no
+    less than the number of texts with any of its runs; only runs of slots above half of the host's texts are then counted exactly.
     """
     kinds = [id_field(pages, id_col, "id"), id_field(pages, url_col, "url")]
     out = T.StructType([*kinds, T.StructField("text", T.StringType())])
@@ -312,9 +351,81 @@ def extract_text(
         found = {kind for _, kind in blocks}
         return OPEN in found and MAIN not in found
 
-    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def main_texts(part: pa.RecordBatch, read: list[list[tuple[str, int]]]) -> tuple[np.ndarray, ...]:
+        """Token codes and page limits of the main blocks, the pages' contents, and equal numbers for equal hosts and contents."""
+        codes, first, limits = token_codes([[b for b, kind in blocks if kind == MAIN] for blocks in read])
+        contents = page_contents(codes, first, limits, [MAIN] * (len(first) - 1))
+        return codes, limits, contents, np.unique(np.stack([np.asarray(part.column("host")), contents]), axis=1, return_inverse=True)[1].ravel()
+
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Hosts that are asked about, contents of main texts, and counts of the slots of their runs."""
+        held: dict[int, list[np.ndarray]] = {}
+        size = 0
+
+        def rows(hosts: list, asked: list, contents: list, slots: list) -> pa.RecordBatch:
+            columns = zip((hosts, asked, contents, slots), (pa.int64(), pa.bool_(), pa.int64(), pa.binary()), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in columns], ["host", "asks", "content", "slots"])
+
+        def counted() -> pa.RecordBatch:
+            out = rows(list(held), [False] * len(held), [None] * len(held), [packed_counts(np.concatenate(s)) for s in held.values()])
+            held.clear()
+            return out
+
         for part, read in parts(batches):
-            yield pa.RecordBatch.from_arrays([part.column("host").filter(pa.array([asks(b) for b in read], pa.bool_())).unique()], ["host"])
+            hosts = np.asarray(part.column("host"))
+            asked = np.unique(hosts[[asks(blocks) for blocks in read]]).tolist()
+            yield rows(asked, [True] * len(asked), [None] * len(asked), [None] * len(asked))
+            codes, limits, contents, same = main_texts(part, read)
+            texts = np.unique(np.where(np.diff(limits) > 0, same, -1), return_index=True)
+            texts = texts[1][texts[0] >= 0]
+            yield rows(hosts[texts].tolist(), [False] * len(texts), contents[texts].tolist(), [None] * len(texts))
+            hashes, page = runs_by_page(codes, limits, same, run)
+            key = np.unique(same[page] * SLOTS + run_slots(hashes))  # a text counts once in a slot
+            of = np.zeros(len(same) + 1, np.int64)
+            of[same] = hosts
+            of = of[key // SLOTS]
+            order = np.argsort(of, kind="stable")
+            names, edges = np.unique(of[order], return_index=True)
+            for name, slots in zip(names.tolist(), np.split((key % SLOTS).astype(np.uint16)[order], edges[1:]), strict=False):
+                held.setdefault(name, []).append(slots)
+                size += len(slots)
+            if size >= HELD_SLOTS:
+                yield counted()
+                size = 0
+        yield counted()
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The slots of each host, whose rows stand together, that are counted for more than half of its n texts; an empty list if they are many."""
+        last, most, total = None, 0, np.zeros(SLOTS, np.int64)
+
+        def found() -> pa.RecordBatch:
+            slots = np.flatnonzero(2 * total > most).tolist() if last is not None else []
+            known = [last] if slots else []
+            return pa.RecordBatch.from_arrays([pa.array(known, pa.int64()), pa.array([slots if len(slots) <= LISTED_SLOTS else []][: len(known)], pa.list_(pa.int32()))], ["host", "slots"])
+
+        for batch in batches:
+            for name, packed, n in zip(*(batch.column(c).to_pylist() for c in ("host", "slots", "n")), strict=True):
+                if name != last:
+                    yield found()
+                    last, most = name, n
+                    total[:] = 0
+                add_counts(total, packed)
+        yield found()
+
+    def shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The runs of main texts in frequent slots, with the content and number of their pages."""
+        for part, read in parts(batches):
+            codes, limits, contents, _ = main_texts(part, read)
+            hashes, page = runs_by_page(codes, limits, np.arange(len(read)), run)
+            wanted = [np.array(s, np.int64) for s in part.column("slots").to_pylist()]
+            slots = run_slots(hashes)
+            order = np.argsort(page, kind="stable")
+            edges = np.searchsorted(page[order], np.arange(len(read) + 1))
+            some = [k[np.isin(slots[k], w)] if len(w) else k for w, k in zip(wanted, np.split(order, edges[1:-1]), strict=True)]
+            some = np.concatenate([np.zeros(0, np.int64), *some])
+            taken = pa.array(page[some])
+            yield pa.RecordBatch.from_arrays([part.column("host").take(taken), pa.array(hashes[some]), pa.array(contents[page[some]]), part.column("number").take(taken)],
+                                             ["host", "run", "content", "number"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, read in parts(batches):
@@ -332,24 +443,40 @@ def extract_text(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, read in parts(batches):
-            shared = [np.array(r, np.int64) for r in part.column("runs").to_pylist() if r is not None]
-            cuts = [r is not None for r in part.column("runs").to_pylist()]
-            codes, first, limits = token_codes([[b for b, _ in blocks] for blocks, some in zip(read, cuts, strict=True) if some])
-            stays = ~covered_tokens(codes, first, limits, run, shared)
+            mains = [[(b, kind) for b, kind in blocks if kind == MAIN] for blocks in read]
+            runs = [(n if main else r) for r, n, main in zip(part.column("runs").to_pylist(), part.column("notices").to_pylist(), mains, strict=True)]
+            streams = [main or blocks for main, blocks in zip(mains, read, strict=True)]
+            codes, first, limits = token_codes([[b for b, _ in blocks] for blocks, r in zip(streams, runs, strict=True) if r is not None])
+            stays = ~covered_tokens(codes, first, limits, run, [np.array(r, np.int64) for r in runs if r is not None])
             texts, block = [], 0
-            for blocks, some in zip(read, cuts, strict=True):
-                kept = [b for b, kind in blocks if kind == MAIN] or [b for b, kind in blocks if kind == OPEN]
-                if some:  # such a page has no main block
-                    edges = zip(first[block:], first[block + 1 : block + 1 + len(blocks)], strict=False)
-                    kept = [" ".join(itertools.compress(b.split(" "), stays[a:z].tolist())) for (b, kind), (a, z) in zip(blocks, edges, strict=True) if kind == OPEN]
+            for blocks, main, r in zip(streams, mains, runs, strict=True):
+                kept = [b for b, kind in blocks if kind != DROPPED]  # either main blocks or open ones
+                if r is not None:
+                    edges = first[block : block + len(blocks) + 1]
                     block += len(blocks)
+                    if not main or 2 * np.count_nonzero(stays[edges[0] : edges[-1]]) >= edges[-1] - edges[0]:
+                        pairs = zip(blocks, edges[:-1], edges[1:], strict=True)
+                        kept = [" ".join(itertools.compress(b.split(" "), stays[a:z].tolist())) for (b, kind), a, z in pairs if kind != DROPPED]
                 texts.append("\n\n".join(b for b in kept if b))
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("url"), pa.array(texts, pa.string())], ["id", "url", "text"])
 
+    def notices_of(known: DataFrame, seen: DataFrame) -> DataFrame | None:
+        """The runs that are notices of each host, if there are any."""
+        texts = saved(seen.where("content is not null").groupBy("host").agg(F.count_distinct("content").alias("n")).where(F.col("n") >= few), "page-texts")
+        slots = seen.where("slots is not null").select("host", "slots").join(if_small(texts), "host").repartition("host").sortWithinPartitions("host")
+        slots = saved(slots.mapInArrow(frequent, "host long, slots array<int>"), "page-slots")
+        if slots.isEmpty():
+            return None
+        runs = known.join(if_small(slots), "host").mapInArrow(shared_runs, "host long, run long, content long, number long").groupBy("host", "run")
+        runs = runs.agg(F.least(F.count_distinct("content"), F.count_distinct("number")).alias("pages"))
+        runs = runs.where(F.col("pages") >= few).join(if_small(texts), "host").where("2 * pages > n")
+        return if_small(saved(runs.groupBy("host").agg(F.collect_list("run").alias("notices")), "page-notices"))
+
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("text"))
     rows = rows.select("*", F.xxhash64("id", "url", "text").alias("r"), F.xxhash64("id").alias("number"), F.when(host(F.col("url")) != "", F.xxhash64(host(F.col("url")))).alias("host"))
     known = rows.where("host is not null")
-    hosts = saved(known.mapInArrow(asking, "host long").distinct(), "page-hosts")
+    seen = saved(known.mapInArrow(survey, "host long, asks boolean, content long, slots binary"), "page-survey")
+    hosts = saved(seen.where("asks").select("host").distinct(), "page-hosts")
     # Many hosts are not broadcast: all pages are read then, which changes no result, as runs meet by host.
     some = known.join(F.broadcast(hosts), "host", "left_semi") if hosts.count() <= BROADCAST_ROWS else known
     shared = some.mapInArrow(emit, "host long, run long, low long, high long, least long, most long").groupBy("host", "run")
@@ -360,4 +487,8 @@ def extract_text(
     cuts = saved(cuts.groupBy("r").agg(F.collect_set("run").alias("runs")), "page-cuts")  # no more than a page has tokens
     if (cuts.agg(F.sum(F.size("runs"))).first()[0] or 0) <= BROADCAST_ROWS:
         cuts = F.broadcast(cuts)
-    return rows.join(cuts, "r", "left").select("id", "url", "text", "runs").mapInArrow(cut, out).toDF(id_col, url_col, "text")
+    notices = notices_of(known, seen)
+    release(seen)
+    rows = rows.join(cuts, "r", "left")
+    rows = rows.withColumn("notices", F.lit(None).cast("array<bigint>")) if notices is None else rows.join(notices, "host", "left")
+    return rows.select("id", "url", "text", "runs", "notices").mapInArrow(cut, out).toDF(id_col, url_col, "text")

@@ -15,7 +15,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from alidade.llm import queries
+from alidade.llm import html_text, queries
 from alidade.llm.components import components
 from alidade.llm.exact_dedup import exact_dedup
 from alidade.llm.html_text import extract_text
@@ -490,6 +490,52 @@ def test_repeated_runs_are_cut_out_of_blocks(spark):
     assert rows_of(out, "page_id", "text") == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_notices_are_cut_out_of_articles(spark, parts):
+    """A run on more than half of a host's distinct articles goes; one on half of them, on few, or on near copies stays."""
+    notice = "we use biscuits on all of our pages and like them"
+    u = [" ".join(f"u{k}x{j}" for j in range(30)) for k in range(12)]
+
+    def page(host, k, body):
+        return 100 * ord(host) + k, f"http://{host}.example/{k}", f"<nav>menu</nav><article>{body}</article>"
+
+    made = [page("a", k, f"<h1>t{k}</h1><p>{u[k]} {notice}</p>" if k % 2 else f"<p>{notice}</p><p>{u[k]}</p>") for k in range(9)]
+    made += [page("a", k, f"<p>{u[k]}</p>") for k in range(9, 12)]
+    made += [page("b", k, f"<p>{u[k % 3]}</p><p>{notice}</p>") for k in range(12)]  # three articles under several addresses
+    made += [page("c", k, f"<p>{u[k]}</p><p>{notice if k < 6 else ''}</p>") for k in range(12)]  # half
+    made += [page("d", k, f"<p>{u[k]}</p><p>{notice}</p>") for k in range(7)]  # few
+    made += [page("e", k, f"<p>{u[0]} day {k} {u[1]}</p>") for k in range(12)]  # near copies
+    made += [(r[0], r[1] + "?print", r[2]) for r in made[:2]] + [(7, None, made[0][2])]
+    got = rows_of(extract_text(spark.createDataFrame(made, "page_id long, url string, html string").repartition(parts), shard_pages=3), "page_id", "text")
+    want = [(i, re.sub("(\n\n)+", "\n\n", re.sub("<[^>]*>", "\n\n", h[len("<nav>menu</nav>") :])).strip()) for i, _, h in made]
+    want = [(i, t.replace(notice, "").strip() if 9700 <= i < 9800 else t) for i, t in want]
+    assert got == sorted(want, key=repr)
+
+
+def test_notices_by_brute_force(spark, monkeypatch):
+    rng = random.Random(4)
+    made = []
+    for k in range(160):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.randint(0, 40))]
+        for _ in range(rng.randint(0, 3)):
+            words[(at := rng.randint(0, len(words))) : at] = rng.choice(["a b c d", "b c d e f", "g h i"]).split()
+        made.append((k, f"http://h{k % 7 % 4}.example/", f"<article>{' '.join(words)}</article>", words))
+    made += [(k, url, h, w) for k, (_, url, h, w) in enumerate(made[:30], 200)]
+    want = []
+    for k, url, _, words in made:
+        texts = {tuple(w) for _, u, _, w in made if u == url and w}
+        runs = collections.Counter(r for t in texts for r in {t[j : j + 3] for j in range(len(t) - 2)})
+        notices = {r for r, n in runs.items() if n >= 4 and 2 * n > len(texts)}
+        gone = {j + i for j in range(len(words) - 2) if tuple(words[j : j + 3]) in notices for i in range(3)}
+        want.append((k, " ".join(words if 2 * len(gone) > len(words) else [w for j, w in enumerate(words) if j not in gone])))
+    assert any(len(t.split()) < len(w) for (_, t), (_, _, _, w) in zip(want, made, strict=True))
+    pages = spark.createDataFrame([m[:3] for m in made], "page_id long, url string, html string").repartition(3)
+    for listed in (512, 1):
+        monkeypatch.setattr(html_text, "LISTED_SLOTS", listed)
+        monkeypatch.setattr(html_text, "HELD_SLOTS", listed * 100)
+        assert rows_of(extract_text(pages, run=3, shard_pages=20, few=4), "page_id", "text") == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
