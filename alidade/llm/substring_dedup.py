@@ -2,9 +2,9 @@
 
 Texts meet in shards of spans (see repeats). Each shard has an FM-index over its spans' words: a suffix array gives the
 Burrows-Wheeler transform, which a wavelet tree holds in packed bits with a count every 64 bits. The spans are streamed
-through it: backward search goes left from every place at once, one word a step, for as long as what it has read stands in
-a text with a smaller id. So each place gets its matching statistic, the length of the longest match that
-ends there, counted up to the threshold; places that reach it report their window.
+through it: backward search goes left from every place at once, one word a step, for as long as what it has read stands at
+another place too. So each place gets its matching statistic, the length of the longest such match that
+ends there, counted up to the threshold, and the least owner of what is found; places whose match has a smaller id report their window.
 
 Defined results: a null or empty text has 0 words; windows do not cross texts; windows are judged on the input; of texts
 that share a passage those with the smallest id keep it, all rows with that id; a row without an id neither loses
@@ -104,21 +104,25 @@ class FMIndex:
         """The rows of the patterns that begin with the symbols and go on as those of rows low to high - 1."""
         return self.first[symbol] + self.tree.rank(symbol, low), self.first[symbol] + self.tree.rank(symbol, high)
 
-    def matching_statistics(self, symbols: np.ndarray, ends_at: np.ndarray, below: np.ndarray, most: int) -> np.ndarray:
-        """For each place the length, up to `most`, of the longest match that ends there and that an owner of a rank below the given one has."""
+    def matching_statistics(self, symbols: np.ndarray, ends_at: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each place of the indexed symbols the length, up to `most`, of the longest match that ends there and stands at another place too, and the least owner.
+
+        The search for a place ends at `most` words, or where its match has one row left: that is the place itself, and stays the only
+        one however far the search goes left. The least owner is the least rank among those of the rows that are left, so of whoever has the `most` words.
+        """
         low = self.first[symbols[ends_at]]
         high = low + self.counts[symbols[ends_at]]
-        live = np.arange(len(ends_at))
         length = np.zeros(len(ends_at), np.int64)
+        live = np.flatnonzero(high - low > 1)
         while len(live):
-            good = (high > low) & (self.least.least(low, np.maximum(high, low + 1)) < below[live])
-            live, low, high = live[good], low[good], high[good]
             length[live] += 1
-            going = length[live] < most
-            live, low, high = live[going], low[going], high[going]
-            if len(live):
-                low, high = self.extend(symbols[ends_at[live] - length[live]], low, high)
-        return length
+            live = live[length[live] < most]
+            low[live], high[live] = self.extend(symbols[ends_at[live] - length[live]], low[live], high[live])
+            live = live[high[live] - low[live] > 1]
+        least = self.least.values[low]
+        found = np.flatnonzero(length >= most)
+        least[found] = self.least.least(low[found], high[found])
+        return length, least
 
 
 def context_order(symbols: np.ndarray, longest: int) -> np.ndarray:
@@ -163,9 +167,10 @@ def earlier_windows(contents: list[bytes], owners: list, window: int) -> tuple[l
     index = FMIndex(symbols, len(known) + 1, window, owner[span])
     inside = np.arange(len(symbols)) - begin[span]
     ends_at = np.flatnonzero((symbols > 0) & (inside >= window - 1))  # the last word of each window
+    least = index.matching_statistics(symbols, ends_at, window)[1]
     out = []
     for below in (owner, owner + 1):  # a match counts if its owner's rank is less
-        hit = ends_at[index.matching_statistics(symbols, ends_at, below[span[ends_at]], window) >= window]
+        hit = ends_at[least < below[span[ends_at]]]
         change = np.zeros(len(symbols) + 1, np.int64)
         np.add.at(change, hit - window + 1, 1)
         np.add.at(change, hit + 1, -1)

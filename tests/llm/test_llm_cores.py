@@ -69,6 +69,25 @@ def test_earlier_windows(seed, window):
         assert got == runs(flags) and rest == [0, len(words)]
 
 
+def test_matching_statistics_end_where_a_match_stands_once():
+    """Statistics and least owners by brute force; a place is searched no further than to the word that makes its match the only one."""
+    rng = np.random.default_rng(5)
+    spans = [rng.integers(1, 30, 80) for _ in range(9)]
+    spans[4][10:60] = spans[1][20:70]
+    spans[7][:25] = spans[1][30:55]
+    symbols = np.concatenate([np.append(s, 0) for s in spans])
+    owner = np.repeat([3, 2, 5, 1, 0, 4, 8, 7, 6], 81).astype(np.int32)
+    index, asked = substring_dedup.FMIndex(symbols, 30, 20, owner), []
+    extend = index.extend
+    index.extend = lambda symbol, low, high: asked.append(len(symbol)) or extend(symbol, low, high)
+    ends = np.flatnonzero((symbols > 0) & (np.arange(len(symbols)) % 81 >= 19))
+    length, least = index.matching_statistics(symbols, ends, 20)
+    for e, n, of in zip(ends, length, least, strict=True):
+        common = [next((k for k in range(20) if symbols[o - k] != symbols[e - k] or not symbols[o - k]), 20) for o in range(len(symbols)) if o != e]
+        assert n == max(common) and of == min([owner[e], *(owner[o + (o >= e)] for o, k in enumerate(common) if k == 20)])
+    assert sum(asked) == np.minimum(length, 19).sum() < 19 * len(ends) / 2
+
+
 def test_wavelet_rank():
     rng = np.random.default_rng(3)
     symbols = rng.integers(0, 13, 500)
