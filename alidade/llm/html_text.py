@@ -10,8 +10,8 @@ edges of blocks count for blocks that runs cover wholly. Pages without main bloc
 
 A page with main blocks keeps just those, less the host's notices: the runs of main blocks that stand in more than half of the distinct
 main texts of the host, and in `few` of them or more, on as many page ids. Two pages are not enough there, as hosts also serve one article under several
-addresses and articles quote each other. Where notices would take more than half of a page's main tokens, most of
-the host is near copies of one article, and the page stays whole.
+addresses and articles quote each other. A text counts for such runs only if they all cover no more than half of its tokens: else
+it is a near copy of other articles rather than one with a notice.
 
 Defined results: null or empty html gives an empty text; unclosed and stray tags are read as far as they
 make sense; an unclosed comment or script reaches to the end; pages whose url is null or names no host are compared with no page; repeated
@@ -336,7 +336,8 @@ def extract_text(
     a host of any size nor a run on all its pages is a task of its own. shard_pages is a matter of memory: the text does not depend on it.
 
     For main blocks they give the distinct runs of each main text. A sketch counts these by host and slot of the run, so that a slot's counter is no
-    less than the number of texts with any of its runs; only runs of slots above half of the host's texts are then counted exactly.
+    less than the number of texts with any of its runs; only runs of slots above half of the host's texts are then counted exactly, and those
+    that are in more than half of the texts once more, in the texts that they cover no more than half.
     """
     kinds = [id_field(pages, id_col, "id"), id_field(pages, url_col, "url")]
     out = T.StructType([*kinds, T.StructField("text", T.StringType())])
@@ -441,6 +442,22 @@ def extract_text(
             page = pa.array(np.searchsorted(limits, at, "right") - 1)
             yield pa.RecordBatch.from_arrays([part.column("host").take(page), pa.array(hashes), part.column("r").take(page)], ["host", "run", "r"])
 
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The runs among those given for a page's host that stand in its main text, if they cover no more than half of it."""
+        for part, read in parts(batches):
+            codes, first, limits = token_codes([[b for b, kind in blocks if kind == MAIN] for blocks in read])
+            contents = page_contents(codes, first, limits, [MAIN] * (len(first) - 1))
+            shared = [np.array(r, np.int64) for r in part.column("runs").to_pylist()]
+            covered = np.concatenate([[0], np.cumsum(covered_tokens(codes, first, limits, run, shared))])[limits]
+            at, hashes = run_places(codes, limits, run)
+            edges = np.searchsorted(at, limits)
+            found = [np.unique(hashes[a:z][np.isin(hashes[a:z], r)]) for a, z, r in zip(edges[:-1], edges[1:], shared, strict=True)]
+            found = [r if v else r[:0] for r, v in zip(found, 2 * np.diff(covered) <= np.diff(limits), strict=True)]
+            page = np.repeat(np.arange(len(read)), [len(r) for r in found])
+            taken = pa.array(page)
+            yield pa.RecordBatch.from_arrays([part.column("host").take(taken), pa.array(np.concatenate([np.zeros(0, np.int64), *found])), pa.array(contents[page]), part.column("number").take(taken)],
+                                             ["host", "run", "content", "number"])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, read in parts(batches):
             mains = [[(b, kind) for b, kind in blocks if kind == MAIN] for blocks in read]
@@ -449,14 +466,13 @@ def extract_text(
             codes, first, limits = token_codes([[b for b, _ in blocks] for blocks, r in zip(streams, runs, strict=True) if r is not None])
             stays = ~covered_tokens(codes, first, limits, run, [np.array(r, np.int64) for r in runs if r is not None])
             texts, block = [], 0
-            for blocks, main, r in zip(streams, mains, runs, strict=True):
+            for blocks, r in zip(streams, runs, strict=True):
                 kept = [b for b, kind in blocks if kind != DROPPED]  # either main blocks or open ones
                 if r is not None:
                     edges = first[block : block + len(blocks) + 1]
                     block += len(blocks)
-                    if not main or 2 * np.count_nonzero(stays[edges[0] : edges[-1]]) >= edges[-1] - edges[0]:
-                        pairs = zip(blocks, edges[:-1], edges[1:], strict=True)
-                        kept = [" ".join(itertools.compress(b.split(" "), stays[a:z].tolist())) for (b, kind), a, z in pairs if kind != DROPPED]
+                    pairs = zip(blocks, edges[:-1], edges[1:], strict=True)
+                    kept = [" ".join(itertools.compress(b.split(" "), stays[a:z].tolist())) for (b, kind), a, z in pairs if kind != DROPPED]
                 texts.append("\n\n".join(b for b in kept if b))
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("url"), pa.array(texts, pa.string())], ["id", "url", "text"])
 
@@ -467,10 +483,18 @@ def extract_text(
         slots = saved(slots.mapInArrow(frequent, "host long, slots array<int>"), "page-slots")
         if slots.isEmpty():
             return None
-        runs = known.join(if_small(slots), "host").mapInArrow(shared_runs, "host long, run long, content long, number long").groupBy("host", "run")
-        runs = runs.agg(F.least(F.count_distinct("content"), F.count_distinct("number")).alias("pages"))
-        runs = runs.where(F.col("pages") >= few).join(if_small(texts), "host").where("2 * pages > n")
-        return if_small(saved(runs.groupBy("host").agg(F.collect_list("run").alias("notices")), "page-notices"))
+
+        def often(runs: DataFrame, name: str) -> DataFrame:
+            """The runs of each host that stand in more than half of its texts, and in few or more."""
+            runs = runs.groupBy("host", "run").agg(F.least(F.count_distinct("content"), F.count_distinct("number")).alias("pages"))
+            runs = runs.where(F.col("pages") >= few).join(if_small(texts), "host").where("2 * pages > n")
+            return saved(runs.groupBy("host").agg(F.collect_list("run").alias("runs")), name)
+
+        found = "host long, run long, content long, number long"
+        runs = often(known.join(if_small(slots), "host").mapInArrow(shared_runs, found), "page-shared")
+        if runs.isEmpty():
+            return None
+        return if_small(often(known.join(if_small(runs), "host").mapInArrow(votes, found), "page-notices")).withColumnRenamed("runs", "notices")
 
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("text"))
     rows = rows.select("*", F.xxhash64("id", "url", "text").alias("r"), F.xxhash64("id").alias("number"), F.when(host(F.col("url")) != "", F.xxhash64(host(F.col("url")))).alias("host"))
