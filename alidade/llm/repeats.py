@@ -30,6 +30,8 @@ from alidade.llm.words import byte_codes, content_hashes, rolling_hashes, word_h
 
 #: Windows that are handled at once, which bounds the memory for long texts.
 SEGMENT = 1 << 20
+#: Of these, windows whose anchors are looked for at once, so that the processor's cache holds them.
+BLOCK = 1 << 15
 PLACE_BITS = 22
 #: Bytes of text for each n-gram that the sketch has a counter for.
 GRAM_BYTES = {True: 64, False: 384}
@@ -55,8 +57,8 @@ class Unit:
         codes, first, _, _ = self.symbols(data, offsets)
         inside = _within(first, len(codes), self.gram)
         out = []
-        for at in range(0, len(codes), SEGMENT):
-            hashes = rolling_hashes(codes[at : at + SEGMENT + self.gram - 1], self.gram)
+        for at in range(0, len(codes), BLOCK):
+            hashes = rolling_hashes(codes[at : at + BLOCK + self.gram - 1], self.gram)
             out.append(hashes[inside[at : at + len(hashes)]])
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -83,24 +85,29 @@ def find_spans(codes: np.ndarray, first: np.ndarray, unit: Unit, levels: np.ndar
         part = codes[at : at + SEGMENT + window - 1]
         if len(part) < window:
             break
-        hashes = rolling_hashes(part, gram)
-        if without is not None:
-            text = np.searchsorted(first, np.arange(at, at + len(hashes)), "right") - 1
-        key = level_of(hashes, levels).astype(np.uint64) << np.uint64(58)
-        key |= (hashes >> np.uint64(28)) << np.uint64(PLACE_BITS)
-        key |= np.arange(len(hashes), dtype=np.uint64)
-        if without is not None:
-            key[hashes == without[text]] |= np.uint64(63) << np.uint64(58)
-        wide, reach = window - gram + 1, 1
-        while reach * 2 <= wide:
-            key = np.minimum(key[:-reach], key[reach:])
-            reach *= 2
         n = len(part) - window + 1
-        best = np.minimum(key[:n], key[wide - reach : wide - reach + n])
+        place = np.empty(n, np.int64)
+        hashes = np.empty(n + window - gram, np.uint64)
+        for low in range(0, n, BLOCK):
+            some = rolling_hashes(part[low : min(low + BLOCK, n) + window - 1], gram)
+            hashes[low : low + len(some)] = some
+            key = level_of(some, levels).astype(np.uint64) << np.uint64(58)
+            key |= (some >> np.uint64(28)) << np.uint64(PLACE_BITS)
+            key |= np.arange(low, low + len(some), dtype=np.uint64)
+            if without is not None:
+                text = np.searchsorted(first, np.arange(at + low, at + low + len(some)), "right") - 1
+                key[some == without[text]] |= np.uint64(63) << np.uint64(58)
+            wide, reach = window - gram + 1, 1
+            while reach * 2 <= wide:
+                key = np.minimum(key[:-reach], key[reach:])
+                reach *= 2
+            here = min(BLOCK, n - low)
+            best = np.minimum(key[:here], key[wide - reach : wide - reach + here])
+            place[low : low + here] = best & np.uint64((1 << PLACE_BITS) - 1)
         starts = np.flatnonzero(inside[at : at + n])
         if not len(starts):
             continue
-        place = (best[starts] & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+        place = place[starts]
         new = np.ones(len(starts), bool)
         new[1:] = (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)
         edge = np.flatnonzero(new)
@@ -131,6 +138,16 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str, unit: Unit, solv
     window = unit.window
     names = ["anchor", "span", "r", "r2", "id", "start", "count"]
 
+    def anchors_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 1 << 20):
+            offsets, data = offsets_and_bytes(batch.column("text"))
+            codes, first, _, _ = unit.symbols(data, offsets)
+            anchors, begin, _ = find_spans(codes, first, unit, cell.value)
+            columns = [pa.array(anchors.view(np.int64))]
+            if earlier:
+                columns.append(batch.column("id").take(pa.array(np.searchsorted(first, begin, "right") - 1)))
+            yield pa.RecordBatch.from_arrays(columns, ["anchor", "id"][: len(columns)])
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 1 << 20):
             offsets, data = offsets_and_bytes(batch.column("text"))
@@ -144,11 +161,12 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str, unit: Unit, solv
 
     longs = {c: T.StructField(c, T.LongType()) for c in ("anchor", "span", "r", "r2", "start", "times")}
     emitted = T.StructType([longs["anchor"], longs["span"], longs["r"], longs["r2"], id_kind, longs["start"], T.StructField("count", T.IntegerType())])
-    spans = (base.where("id is not null") if earlier else base).mapInArrow(emit, emitted)
+    texts = base.where("id is not null") if earlier else base
+    spans = texts.mapInArrow(emit, emitted)
     if earlier:
-        twice = spans.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor")
+        twice = texts.select("id", "text").mapInArrow(anchors_only, T.StructType([longs["anchor"], id_kind])).groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor")
     else:
-        twice = spans.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
+        twice = texts.select("text").mapInArrow(anchors_only, T.StructType([longs["anchor"]])).groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
     # Written first, so that either this side is broadcast or the join may split the rows of a hot anchor.
     anchors = saved(twice, "repeat-anchors")
     spans = saved(spans.join(if_small(anchors), "anchor", "left_semi"), "repeat-spans")
@@ -232,10 +250,13 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str, unit: Unit, solv
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
+            if not unit.words:
+                yield _bytes_cut(batch, out.names)
+                continue
             rows = []
             for text, cuts_of in zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist(), strict=True):
                 limits = [(c["start"] + a, c["start"] + z) for c in cuts_of or () for a, z in zip(c["cover"][::2], c["cover"][1::2], strict=True)]
-                rows.append(_without(text, limits, unit.words))
+                rows.append(_without(text, limits))
             n, removed, runs, kept = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, pa.int64()) for x in (n, removed, runs)), pa.array(kept, pa.binary())], out.names)
 
@@ -258,9 +279,31 @@ def _span_hashes(data: np.ndarray, starts: np.ndarray | None, ends: np.ndarray |
     return content_hashes(data.tobytes(), begin.tolist(), end.tolist())
 
 
-def _without(text: bytes, limits: list[tuple[int, int]], words: bool) -> tuple[int, int, int, bytes]:
-    """Number of symbols, of removed ones and of runs of these, and what is left."""
-    units = text.split() if words else text
+def _bytes_cut(batch: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
+    """Number of bytes, of removed ones and of runs of these, and what is left, for texts with their cuts."""
+    offsets, data = offsets_and_bytes(batch.column("text"))
+    cuts = batch.column("cuts")
+    text = np.repeat(np.arange(batch.num_rows), np.asarray(cuts.value_lengths().fill_null(0)))
+    each = cuts.flatten()
+    cover = each.field("cover")
+    of = np.repeat(np.arange(len(each)), np.asarray(cover.value_lengths().fill_null(0)) // 2)
+    limits = np.asarray(cover.flatten()).reshape(-1, 2) + (offsets[text] + np.asarray(each.field("start")))[of][:, None]
+    change = np.zeros(len(data) + 1, np.int32)
+    np.add.at(change, limits[:, 0], 1)
+    np.add.at(change, limits[:, 1], -1)
+    gone = np.cumsum(change[:-1]) > 0
+    begins = gone.copy()
+    begins[1:] &= ~gone[:-1]
+    heads = offsets[:-1][np.diff(offsets) > 0]
+    begins[heads] = gone[heads]
+    removed, runs = (np.concatenate([[0], np.cumsum(x)])[offsets] for x in (gone, begins))
+    kept = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((offsets - removed).astype(np.int32)), pa.py_buffer(data[~gone])])
+    return pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(np.diff(x)) for x in (offsets, removed, runs)), kept], names)
+
+
+def _without(text: bytes, limits: list[tuple[int, int]]) -> tuple[int, int, int, bytes]:
+    """Number of words, of removed ones and of runs of these, and what is left."""
+    units = text.split()
     runs: list[list[int]] = []
     for a, z in sorted(limits):
         if runs and a <= runs[-1][1]:
@@ -269,5 +312,4 @@ def _without(text: bytes, limits: list[tuple[int, int]], words: bool) -> tuple[i
             runs.append([a, z])
     edges = [0, *(x for run in runs for x in run), len(units)]
     kept = [units[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)]
-    left = b" ".join([w for part in kept for w in part]) if words else b"".join(kept)
-    return len(units), sum(z - a for a, z in runs), len(runs), left
+    return len(units), sum(z - a for a, z in runs), len(runs), b" ".join([w for part in kept for w in part])

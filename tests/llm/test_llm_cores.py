@@ -6,12 +6,13 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from alidade.llm import bpe, html_text, language_id, quality_rules, substring_dedup, suffix_dedup
+from alidade.llm import bpe, html_text, language_id, quality_rules, repeats, substring_dedup, suffix_dedup
 from alidade.llm.exact_dedup import grace_groups
 from alidade.llm.quality_classifier import fit_rules, lasso_logistic, matches, tree_paths
 from alidade.llm.words import word_hashes, word_spans
@@ -54,6 +55,37 @@ def test_repeated_windows(seed, letters, window):
     assert suffix_dedup.repeated_windows(some, times, window) == want
 
 
+def test_repeated_windows_of_repetitive_texts_are_not_sorted_by_byte(monkeypatch):
+    """Texts of one phrase over and over have few token beginnings or none; the suffix array gets a fifth of their bytes as symbols at most."""
+    rng, window, given_symbols = random.Random(7), 60, []
+    phrases = [bytes(rng.choice(b"abcdefghij ") for _ in range(24)) for _ in range(60)]
+    some = [(phrase * 20)[rng.randrange(24) :][: rng.randint(150, 400)] for phrase in phrases + phrases[:20]]
+    plain = suffix_dedup.linear_suffix_array
+    monkeypatch.setattr(suffix_dedup, "linear_suffix_array", lambda symbols: given_symbols.append(len(symbols)) or plain(symbols))
+    got = suffix_dedup.repeated_windows(some, [1] * len(some), window)
+    count = collections.Counter(s[k : k + window] for s in some for k in range(len(s) - window + 1))
+    for s, found in zip(some, got, strict=True):
+        flags = np.zeros(len(s), bool)
+        for k in range(len(s) - window + 1):
+            if count[s[k : k + window]] > 1:
+                flags[k : k + window] = True
+        assert found == runs(flags)
+    assert 5 * sum(given_symbols) <= sum(map(len, some))
+
+
+def test_cuts_of_bytes():
+    """Cuts that overlap, touch or end a text, of texts that are empty, whole or without cuts."""
+    texts = [b"abcdefghij", b"", b"klmno", b"pqr", b"stuvw"]
+    cuts = [[(1, [0, 2, 5, 7]), (3, [0, 1]), (2, [0, 1])], None, None, [(0, [0, 3])], [(0, [0, 1]), (1, [3, 4])]]
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("cover", pa.list_(pa.int32()))]))
+    held = pa.array([c and [{"start": a, "cover": x} for a, x in c] for c in cuts], kind)
+    rows = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts, pa.binary()), held], ["id", "text", "cuts"])
+    want = [(0, 10, 5, 2, b"aefij"), (1, 0, 0, 0, b""), (2, 5, 0, 0, b"klmno"), (3, 3, 3, 1, b""), (4, 5, 2, 2, b"tuv")]
+    for a, z in ((0, 5), (1, 3), (2, 5)):
+        got = repeats._bytes_cut(rows.slice(a, z - a), ["id", "n", "removed", "runs", "kept"])
+        assert [tuple(r.values()) for r in got.to_pylist()] == want[a:z]
+
+
 @given(st.integers(0, 10**6), st.sampled_from([2, 5]))
 @settings(max_examples=120, deadline=None)
 def test_earlier_windows(seed, window):
